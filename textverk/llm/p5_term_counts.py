@@ -119,10 +119,9 @@ def term_deltas(records: DataFrame, scope: DataFrame | None = None) -> DataFrame
         yield from emit(held_t, held_g, keys)
 
     got = both.mapInArrow(run, "rec string, term string, d_occ long, d_recs long")
-    whole = got.filter(F.col("rec").isNull()).select("term", "d_occ", "d_recs")
-    cut = got.filter(F.col("rec").isNotNull()).groupBy("rec", "term", F.signum("d_recs").alias("sg")).agg(F.sum("d_occ").alias("d_occ"), F.max("d_recs").alias("hi"), F.min("d_recs").alias("lo"))
-    cut = cut.select("term", "d_occ", F.when(F.col("sg") > 0, F.col("hi")).otherwise(F.col("lo")).alias("d_recs"))
-    return whole.unionByName(cut).groupBy("term").agg(F.sum("d_occ").alias("d_occ"), F.sum("d_recs").alias("d_recs"))
+    per = got.groupBy("rec", "term", F.signum("d_recs").alias("sg")).agg(F.sum("d_occ").alias("d_occ"), F.sum("d_recs").alias("n"), F.max("d_recs").alias("hi"), F.min("d_recs").alias("lo"))
+    once = F.when(F.col("rec").isNull(), F.col("n")).when(F.col("sg") > 0, F.col("hi")).otherwise(F.col("lo"))
+    return per.select("term", "d_occ", once.alias("d_recs")).groupBy("term").agg(F.sum("d_occ").alias("d_occ"), F.sum("d_recs").alias("d_recs"))
 
 
 def slices_by_group(texts: list[str], group: list[int]) -> Iterator[tuple[int, int]]:

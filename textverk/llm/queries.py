@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textverk.llm import p2_repeated_lines as p2
+from textverk.llm import p4_encoding as p4
 from textverk.llm import p5_term_counts as p5
 from textverk.llm import p6_near_duplicates as p6
 from textverk.sources.tables import table
@@ -38,6 +39,17 @@ def p2_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return p2.cut(df, _p2_places(spark, d), "extraction_id", "text").withColumnRenamed("rec_id", "extraction_id")
 
 
+# --- 4: lines in a wrong encoding
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4.garbled(table(spark, d, "extraction_full"), "extraction_id", "text").select(F.col("rec_id").alias("extraction_id"), "line_no")
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return p4.garbled(table(spark, d, "extraction_full"), "extraction_id", "text").withColumnRenamed("rec_id", "extraction_id")
+
+
 # --- 5: term counts
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textverk.llm import p2_repeated_lines as p2
+from textverk.llm import p3_scans as p3
 from textverk.llm import p4_encoding as p4
 from textverk.llm import p5_term_counts as p5
 from textverk.llm import p6_near_duplicates as p6
@@ -39,6 +40,23 @@ def p2_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return p2.cut(df, _p2_places(spark, d), "extraction_id", "text").withColumnRenamed("rec_id", "extraction_id")
 
 
+# --- 3: faults of scanned text
+
+
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    ocr = table(spark, d, "ocr_full_results").select(F.lit("ocr_full_results").alias("src"), F.col("ocr_id").alias("rec_id"), "text", F.lit(True).alias("scanned"))
+    ext = table(spark, d, "extraction_full").select(F.lit("extraction_full").alias("src"), F.col("extraction_id").alias("rec_id"), "text", F.coalesce(F.col("method").rlike("ocr$") & F.col("success"), F.lit(False)).alias("scanned"))
+    return ocr.unionByName(ext)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3.faults(_scans(spark, d))
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return p3.restored(_scans(spark, d))
+
+
 # --- 4: lines in a wrong encoding
 
 

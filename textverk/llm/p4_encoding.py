@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textverk.llm.kernel import codes_of, slices
+from textverk.llm.kernel import codes_of, lines_of, slices
 from textverk.sources.tables import spread
 
 BITS = 19
@@ -207,28 +207,55 @@ class Repair:
         return None
 
 
+class Suspects:
+    """Finds the lines of a batch that need a look, by array operations on code points."""
+
+    _SPECIAL = "{|}[]\\?€…¤£½©°·¬§•„“µ²³±Âàâ"
+
+    def __init__(self) -> None:
+        self.odd = re.compile(_ODD)
+        self.table = np.zeros(0x110000, dtype=bool)
+        self.known = np.zeros(0x110000, dtype=bool)
+        self.special = np.array([ord(c) for c in self._SPECIAL], dtype=np.uint32)
+
+    def lines(self, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, text index and number of the lines."""
+        new = ~self.known[codes]
+        if new.any():
+            for c in np.unique(codes[new]).tolist():
+                self.table[c] = chr(c) in self._SPECIAL or self.odd.match(chr(c)) is not None
+                self.known[c] = True
+        hit = self.table[codes]
+        o = np.flatnonzero(codes == ord("ö"))  # a closing quotation mark may have become one
+        if len(o):
+            before, after = codes[np.maximum(o - 1, 0)], codes[np.minimum(o + 1, len(codes) - 1)]
+            hit[o] |= (before < 64) & (before > 32) | (after >= 65) & (after <= 90)
+        start, end, rec, number = lines_of(codes, off)
+        n = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.cumsum(hit, out=n[1:])
+        keep = n[end] > n[start]
+        return start[keep], end[keep], rec[keep], number[keep]
+
+
 def garbled(df: DataFrame, rec: str, text: str) -> DataFrame:
     """rec_id, line_no, cause, restored (null where it can't be known) for each garbled line."""
     src = spread(df.filter(F.col(text).isNotNull()).select(F.col(rec).cast("long").alias("rec_id"), F.col(text).alias("text")), "rec_id")
     model = df.sparkSession.sparkContext.broadcast(trigram_counts(src, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fix = Repair(model.value)
+        fix, look = Repair(model.value), Suspects()
         for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[tuple] = []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                done = -1
-                for m in fix.trigger.finditer(t):
-                    if m.start() <= done:
-                        continue
-                    a = t.rfind("\n", 0, m.start()) + 1
-                    e = t.find("\n", m.end() - 1 if m[0].endswith("\n") else m.end())
-                    e = len(t) if e < 0 else e
-                    done = e
-                    got = fix.line(t[a:e].rstrip("\r"))
-                    if got:
-                        out.append((r, t.count("\n", 0, a) + 1, got[0], got[1]))
+            for i, j in slices(texts):
+                codes, off = codes_of(texts[i:j])
+                if not len(codes):
+                    continue
+                for s, e, r, k in zip(*(x.tolist() for x in look.lines(codes, off)), strict=True):
+                    line = texts[i + r][s - int(off[r]) : e - int(off[r])].rstrip("\r")
+                    if fix.trigger.search(line) and (got := fix.line(line)):
+                        out.append((ids[i + r], k, got[0], got[1]))
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["rec_id", "line_no", "cause", "restored"])
 
-    return src.filter(F.col("text").rlike(TRIGGER)).mapInArrow(run, "rec_id long, line_no int, cause string, restored string")
+    return src.mapInArrow(run, "rec_id long, line_no int, cause string, restored string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from textverk.llm import p3_scans as p3
 from textverk.llm import p4_encoding as p4
 from textverk.llm import p5_term_counts as p5
 from textverk.llm import p6_near_duplicates as p6
+from textverk.llm import p7_sentences as p7
 from textverk.sources.tables import table
 
 
@@ -104,8 +107,23 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return p6.groups(*_p6(spark, d))
 
 
+# --- 7: sentences
+
+
+def _sentence_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bert_corpus").select(F.col("doc_id").alias("doc"), F.col("sentence_id").alias("sid"), F.col("sentence_text").alias("text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7.starts(_sentence_rows(spark, d)).select(F.col("doc").alias("doc_id"), F.col("sid").alias("sentence_id"), F.col("start").alias("start_char"))
+
+
+def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return p7.sentences(_sentence_rows(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and "_" in k and callable(v)}
+    return {k: v for k, v in globals().items() if re.match(r"p\d+_", k) and inspect.isfunction(v)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,15 +9,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textverk.llm import p1_quality as p1
 from textverk.llm import p2_repeated_lines as p2
 from textverk.llm import p3_scans as p3
 from textverk.llm import p4_encoding as p4
 from textverk.llm import p5_term_counts as p5
 from textverk.llm import p6_near_duplicates as p6
 from textverk.llm import p7_sentences as p7
+from textverk.session import stored
 from textverk.sources.tables import table
 
 
+# --- 1: texts that are no prose
+
+
+def _p1_scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text")
+    ext = table(spark, d, "extraction_full").filter("success").select(F.lit("extraction_full").alias("src"), F.col("extraction_id").alias("rec_id"), "text")
+    stats = stored(p1.document_statistics(docs.unionByName(ext)), "p1-statistics")
+    return p1.scored(stats, stored(p1.profile(stats), "p1-sketches"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_scored(spark, d).filter("tail AND sentence_share < 0.5").select("src", "rec_id")
+
+
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_scored(spark, d)
+
+
 # --- 2: lines repeated within an entity
 
 
@@ -93,8 +113,6 @@ def p5_term_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from textverk.session import stored
-
     docs = stored(p6.documents(_extracted(spark, d), "filename", "text"), "p6-docs")
     return docs, p6.links(docs, 0.7)
 

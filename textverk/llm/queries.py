@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textverk.llm import p1_quality as p1
+from textverk.llm import p10_levels as p10
 from textverk.llm import p2_repeated_lines as p2
 from textverk.llm import p3_scans as p3
 from textverk.llm import p4_encoding as p4
@@ -140,6 +141,22 @@ def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     return p7.sentences(_sentence_rows(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
+# --- 10: reading levels
+
+
+def _p10(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "reading_labels").select("doc_id", F.col("reading_level").alias("level"))
+    return p10.levels(table(spark, d, "documents").select("doc_id", "text"), labels)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).select("doc_id", "reading_level")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if re.match(r"p\d+_", k) and inspect.isfunction(v)}
 

@@ -17,6 +17,9 @@ from textverk.llm import p4_encoding as p4
 from textverk.llm import p5_term_counts as p5
 from textverk.llm import p6_near_duplicates as p6
 from textverk.llm import p7_sentences as p7
+from textverk.llm import p8_containers as p8
+from textverk.llm import p9_mixture as p9
+from textverk.llm import tokens
 from textverk.session import stored
 from textverk.sources.tables import table
 
@@ -141,6 +144,33 @@ def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     return p7.sentences(_sentence_rows(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
+# --- 8: containers
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    size = tokens.sizes(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return p8.containers(size, table(spark, d, "container_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return p8.report(p8_containers(spark, d))
+
+
+# --- 9: mixture of sources
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    lang = F.lower(F.split("lang", "[-_]")[0])
+    docs = table(spark, d, "documents").select("doc_id", "source", lang.alias("language"), F.col("actor").alias("topic"), "text")
+    targets = table(spark, d, "mix_targets")
+    docs = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # a row a target
+    return p9.mixture(tokens.sizes(docs, "text"), targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p9.shares(stored(p9_mix(spark, d), "p9-mix"), table(spark, d, "mix_targets"))
+
+
 # --- 10: reading levels
 
 
@@ -158,7 +188,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if re.match(r"p\d+_", k) and inspect.isfunction(v)}
+    return {k: v for k, v in globals().items() if re.match(r"p\d+_[a-z]", k) and inspect.isfunction(v)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textverk.plans import matrix_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (matrix_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items() if v}

@@ -103,7 +103,8 @@ def neighbourhoods(df: DataFrame, key: str, columns: list[str], eps: float, leas
     """Density clusters (DBSCAN): core points within eps are joined; -1 is noise.
 
     Points meet through grid cells of side eps in the first two columns, so only neighbours
-    in adjoining cells are compared. Components are found by spreading the smallest label.
+    in adjoining cells are compared. Components are found by spreading the smallest label;
+    a cluster is named by the smallest key of its core points.
     """
     from textverk.session import stored
 
@@ -127,4 +128,4 @@ def neighbourhoods(df: DataFrame, key: str, columns: list[str], eps: float, leas
         moved = not new.join(label.withColumnRenamed("label", "old"), "i").filter("label != old").isEmpty()
         label = new
     border = e.join(label.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("label").alias("b"))
-    return p.select("i").join(label, "i", "left").join(border, "i", "left").select(F.col("i").alias(key), F.coalesce("label", "b", F.lit(-1)).alias("cluster"))
+    return p.select("i").join(label, "i", "left").join(border, "i", "left").select(F.col("i").alias(key), F.coalesce(F.col("label").cast("string"), F.col("b").cast("string"), F.lit("-1")).alias("cluster"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textverk.plans import matrix_queries, text_queries
+from textverk.plans import matrix_queries, other_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (matrix_queries, text_queries)
+_MODULES = (matrix_queries, text_queries, other_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -86,12 +86,12 @@ def normal_space(text: Column) -> Column:
 
 
 def trim_to_chapter(text: Column, pattern: str = CHAPTER, guard: float = 0.5) -> Column:
-    """struct(text, trimmed, failed): from the heading's line on, unless it is missing or lies
-    beyond ``guard`` of the text."""
+    """struct(text, trimmed, failed): from the line before the heading on, unless the heading is
+    missing or lies beyond ``guard`` of the text; a heading at the start counts as failed."""
     at = F.regexp_instr(text, F.lit(pattern))
-    # the line of the match: a match that began with the line break starts after it
+    # the match begins with the break before the heading, so that line's start is kept too
     head = F.substring_index(F.substr(text, F.lit(1), at - 1), "\n", -1)
-    start = F.when(F.substr(text, at, F.lit(1)) == "\n", at).otherwise(at - F.length(head) - 1)
+    start = at - 1 - F.length(head)
     ok = (at > 0) & (start <= F.length(text) * guard)
     return F.struct(F.when(ok, F.substr(text, start + 1)).otherwise(text).alias("text"), (ok & (start > 0)).alias("trimmed"), (~ok | (start == 0)).alias("failed"))
 

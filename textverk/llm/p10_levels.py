@@ -169,7 +169,7 @@ def _count(labelled: DataFrame) -> dict[int, tuple[Model, np.ndarray]]:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray, np.ndarray]:
     """The final model, its sentence counts, and the level of each of BINS score bins."""
     ok = labels.filter(F.col("level").isin(*LEVELS) & F.col("doc_id").isNotNull())
-    rows = docs.filter(F.col("text").isNotNull()).join(ok, "doc_id").select("text", F.col("level").cast("int").alias("level"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"))
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ok.select("doc_id", "level"), "doc_id").select("text", F.col("level").cast("int").alias("level"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"))
     labelled = stored(rows, "p10-labelled")
     models = _count(labelled)
     sent = docs.sparkSession.sparkContext.broadcast(models)

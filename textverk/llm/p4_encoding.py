@@ -128,7 +128,7 @@ class Repair:
         if not tried:
             return None
         c, t = min((self.cost(t), t) for t in tried)
-        return (t, tried[t], c) if c < self.cost(s) - GAIN and self.likely(t, c) else None
+        return (t, tried[t], c) if c < self.cost(s) - GAIN else None
 
     def likely(self, t: str, c: float) -> bool:
         """Whether the restored line reads like text of the corpus, not like noise."""
@@ -188,6 +188,8 @@ class Repair:
             while len(names) < 8 and not (names and DONE.fullmatch(t)) and (got := self._round(t)) is not None:
                 t = got[0]
                 names.append(got[1])
+            if names and not self.likely(t, self.cost(t)):  # noise that happened to decode
+                t, names = s, []
         if self.seven.search(t) and (got := self._seven(t)):
             t = got[0]
             names.append(got[1])

@@ -163,6 +163,8 @@ def step(text: str, state: int) -> tuple[list[int], int]:
         wide = c in "。！？।؟"
         if c == "." and e - i == 1:
             kind = _abbreviation(text, i)
+            if kind == "on" and nxt < n and text[nxt].isupper() and text[i - 1].islower() and not (i > 1 and (text[i - 2].isalpha() or text[i - 2] == ".")) and text[nxt + 1 : nxt + 2] != ".":
+                kind = None  # a unit or letter at the end of a sentence
             if kind == "on" or text[i - 1 : i].isdigit() and _ordinal(text, i):
                 if nxt == n:
                     return starts, INSIDE

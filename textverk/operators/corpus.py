@@ -61,10 +61,26 @@ def cascade(tries: list[tuple[str, Column]], least: int = 500) -> Column:
 
 
 def preview(rows: DataFrame, key: str, order: str, text: str, limit: int = 1000) -> DataFrame:
-    """The beginning of each document's joined sentences. The whole text's length counts."""
-    g = rows.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("a"))
-    x = g.select("id", F.array_join(F.transform("a", lambda s: s["t"]), " ").alias("full"))
-    return x.select("id", F.length("full").alias("total_chars"), F.least(F.length("full"), F.lit(limit)).alias("preview_chars"), (F.length("full") > limit).alias("is_truncated"), F.substr("full", F.lit(1), F.lit(limit)).alias("preview_text"))
+    """The beginning of each document's sentences, joined by blanks. The whole text's length
+    counts, but only the sentences that reach into the preview are gathered."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    w = W.partitionBy("id").orderBy("o", "t").rowsBetween(W.unboundedPreceding, -1)
+    x = rows.select(F.col(key).alias("id"), F.col(order).alias("o"), t.alias("t")).withColumn("at", F.coalesce(F.sum(F.length("t") + 1).over(w), F.lit(0)))
+    g = x.groupBy("id").agg((F.sum(F.length("t") + 1) - 1).cast("int").alias("total_chars"), F.array_sort(F.collect_list(F.when(F.col("at") <= limit, F.struct("at", "t")))).alias("a"))
+    full = F.array_join(F.transform("a", lambda s: s["t"]), " ")
+    return g.select("id", "total_chars", F.least("total_chars", F.lit(limit)).alias("preview_chars"), (F.col("total_chars") > limit).alias("is_truncated"), F.substr(full, F.lit(1), F.lit(limit)).alias("preview_text"))
+
+
+def numbered(rows: DataFrame, *keys: str, name: str = "number") -> DataFrame:
+    """Numbers from 0 in the order of the keys without a global window: the rows are ranged
+    over partitions, counted by partition, and ranked inside each."""
+    from textverk.session import stored
+
+    part = stored(rows.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "numbered")
+    base = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = base.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    rank = F.row_number().over(W.partitionBy("_p").orderBy(*keys))
+    return part.join(F.broadcast(base), "_p").withColumn(name, F.col("_b") + rank - 1).drop("_p", "_b")  # a row a partition
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -74,9 +74,12 @@ def enrichment(rows: DataFrame, cluster: str, value: str, top: int = 20) -> Data
     return x.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("enrichment"), "value"))).filter(F.col("r") <= top).drop("r")
 
 
-def silhouette(points: DataFrame, vector: str, label: str) -> DataFrame:
-    """Mean Euclidean silhouette over points. It compares all pairs, as its definition does, so
-    it is for the few hundred profiles of a wave; large sets use the evaluator of Spark ML."""
+def silhouette(points: DataFrame, vector: str, label: str, most: int = 5000) -> DataFrame:
+    """Mean Euclidean silhouette. By its definition it compares all pairs, so it takes the
+    profiles of a wave, ``most`` points at most; larger sets use the evaluator of Spark ML,
+    whose squared distance needs no pairs."""
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} points: use pyspark.ml.evaluation.ClusteringEvaluator")
     p = points.select(F.monotonically_increasing_id().alias("i"), F.col(vector).alias("v"), F.col(label).alias("c"))
     o = p.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("c").alias("d"))
     dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))

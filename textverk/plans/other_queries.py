@@ -148,19 +148,13 @@ q("f10_group_numbers", "SELECT DISTINCT doc_id, sentence_id, dense_rank() OVER (
 
 
 def _group_numbers(s: SparkSession, d: str) -> DataFrame:
-    """Dense numbers without a global window: counts by range of keys, then ranks inside."""
-    keys = table(s, d, "bert_corpus").select("doc_id", "sentence_id").distinct()
-    part = stored(keys.repartitionByRange("doc_id", "sentence_id").withColumn("p", F.spark_partition_id()), "group-keys")
-    w = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    base = part.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).select("p", "base")
-    x = part.join(F.broadcast(base), "p")  # a row a partition
-    return x.select("doc_id", "sentence_id", (F.col("base") + F.row_number().over(W.partitionBy("p").orderBy("doc_id", "sentence_id")) - 1).alias("gid"))
+    return corpus.numbered(table(s, d, "bert_corpus").select("doc_id", "sentence_id").distinct(), "doc_id", "sentence_id", name="gid")
 
 
 q("b14_sample", None)(lambda s, d: corpus.sample(table(s, d, "documents").select("doc_id", "source"), 50, "doc_id"))
 q("c26_json", None)(lambda s, d: table(s, d, "quality").select("doc_id", F.to_json(F.struct("quality_score", "quality_flag", "total_sentences")).alias("json")))
 q("k15_report_pages", f"WITH {M}, x AS (SELECT file, row_number() OVER (ORDER BY file, year NULLS LAST, actor, entity, wave NULLS LAST) AS rn FROM (SELECT DISTINCT file, year, actor, entity, wave FROM m)) SELECT CAST(floor((rn - 1) / 55) AS BIGINT) AS page, count(*) AS lines FROM x GROUP BY 1")(
-    lambda s, d: matrix(s, d).select("file", "year", "actor", "entity", "wave").distinct().withColumn("rn", F.row_number().over(W.orderBy("file", F.asc_nulls_last("year"), "actor", "entity", F.asc_nulls_last("wave")))).groupBy(F.floor((F.col("rn") - 1) / 55).alias("page")).agg(F.count(F.lit(1)).alias("lines"))
+    lambda s, d: corpus.numbered(matrix(s, d).select("file", "year", "actor", "entity", "wave").distinct(), "file", "year").groupBy(F.floor(F.col("number") / 55).alias("page")).agg(F.count(F.lit(1)).alias("lines"))
 )
 q("h8_actor_pairs", f"WITH {M}, a AS (SELECT DISTINCT actor FROM m WHERE actor IS NOT NULL) SELECT x.actor AS a, y.actor AS b FROM a x JOIN a y ON x.actor < y.actor")(
     lambda s, d: matrix(s, d).filter("actor IS NOT NULL").select(F.col("actor").alias("a")).distinct().join(matrix(s, d).filter("actor IS NOT NULL").select(F.col("actor").alias("b")).distinct(), F.col("a") < F.col("b"))
@@ -227,9 +221,51 @@ q("j11_ward", None)(lambda s, d: cluster.ward(profiles(s, d), "wave", "entity",
 q("j12_characterise", None)(lambda s, d: cluster.characterise(_assigned(s, d), COLS))
 q("i7_cluster_transitions", None)(lambda s, d: cluster.transitions(_assigned(s, d), [(0, 1), (1, 2), (2, 3)]))
 q("j14_pca", None)(lambda s, d: cluster.project(profiles(s, d), COLS).select("entity", "wave", "pc1", "pc2"))
-q("j10_silhouette", None)(lambda s, d: stats.silhouette(_assigned(s, d).select("cluster", F.array(*COLS).alias("v")), "v", "cluster"))
+q("j10_silhouette", None)(lambda s, d: stats.silhouette(_assigned(s, d).filter("wave = 3").select("cluster", F.array(*COLS).alias("v")), "v", "cluster"))
 q("j17_density", None)(lambda s, d: cluster.neighbourhoods(profiles(s, d).withColumn("id", F.concat_ws("|", "entity", "wave")), "id", COLS, 0.5, 5))
 
+q("e28_cluster_summary", """WITH y AS (SELECT label, vec_id % 4 AS year, count(*) AS n FROM embeddings GROUP BY ALL) SELECT label, CAST(sum(n) AS BIGINT) AS size, round(100 * sum(n) / (SELECT count(*) FROM embeddings), 6) AS pct, CASE WHEN arg_max(n, year) > arg_min(n, year) THEN 'Increasing' ELSE 'Decreasing' END AS trend FROM y GROUP BY label""")(
+    lambda s, d: _cluster_summary(s, d)
+)
+
+
+def _cluster_summary(s: SparkSession, d: str) -> DataFrame:
+    y = table(s, d, "embeddings").groupBy("label", (F.col("vec_id") % 4).alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    g = y.groupBy("label").agg(F.sum("n").alias("size"), F.max_by("n", "year").alias("last"), F.min_by("n", "year").alias("first"))
+    all_ = y.agg(F.sum("n").alias("t"))
+    return g.crossJoin(F.broadcast(all_)).select("label", "size", F.round(100 * F.col("size") / F.col("t"), 6).alias("pct"), F.when(F.col("last") > F.col("first"), "Increasing").otherwise("Decreasing").alias("trend"))
+
+
+q("j21_sentence_vectors", None)(lambda s, d: _sentence_vectors(s, d))
+
+
+def _sentence_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Each order is a sentence of its parts, each part a word with an embedding."""
+    words = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
+    return vectors.sentence_vectors(table(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("word")), words, "o").select("o", "words_found", "coverage")
+
+
+# --- the plain relational operators
+q("a6_files_found", "SELECT DISTINCT file, file IN (SELECT filename FROM extraction_full WHERE filename IS NOT NULL) AS found FROM ocr_full_results WHERE file IS NOT NULL")(
+    lambda s, d: table(s, d, "ocr_full_results").filter("file IS NOT NULL").select("file").distinct()
+    .join(table(s, d, "extraction_full").select(F.col("filename").alias("file"), F.lit(True).alias("f")).filter("file IS NOT NULL").distinct(), "file", "left").select("file", F.coalesce("f", F.lit(False)).alias("found"))
+)
+q("a10_strict_success", "SELECT ocr_id FROM ocr_full_results WHERE text_length > 500 AND status = 'success'")(lambda s, d: table(s, d, "ocr_full_results").filter("text_length > 500 AND status = 'success'").select("ocr_id"))
+q("c25_formatted", "SELECT DISTINCT doc_id, format('{:.1f} %', round(100 * chars_retained_pct, 1)) AS kept FROM quality WHERE chars_retained_pct IS NOT NULL")(
+    lambda s, d: table(s, d, "quality").filter("chars_retained_pct IS NOT NULL").select("doc_id", F.format_string("%.1f %%", F.round(100 * F.col("chars_retained_pct"), 1)).alias("kept")).distinct()
+)
+q("g1_mixed_sort", "SELECT entity, wave, year, file FROM (SELECT DISTINCT entity, wave, year, file FROM term_document_matrix WHERE entity IS NOT NULL AND year IS NOT NULL) ORDER BY entity, wave DESC, year, file")(
+    lambda s, d: table(s, d, "term_document_matrix").filter("entity IS NOT NULL AND year IS NOT NULL").select("entity", "wave", "year", "file").distinct().orderBy("entity", F.desc("wave"), "year", "file")
+)
+q("h1_union_all", "SELECT filename AS file FROM extraction_full UNION ALL SELECT file FROM ocr_full_results")(lambda s, d: table(s, d, "extraction_full").select(F.col("filename").alias("file")).unionByName(table(s, d, "ocr_full_results").select("file")))
+q("h3_first_seen", "SELECT source, min(doc_id) AS ord FROM documents GROUP BY source")(lambda s, d: table(s, d, "documents").groupBy("source").agg(F.min("doc_id").alias("ord")))
+q("h7_explode_words", r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS n FROM w WHERE word <> '' GROUP BY doc_id".replace("\\\\", "\\"))(
+    lambda s, d: table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word")).filter("word <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+)
+q("d12_range_join", "WITH p(period, lo, hi) AS (VALUES ('a', 2006, 2012), ('b', 2012, 2018), ('c', 2018, 2025)) SELECT period, count(*) AS n FROM term_document_matrix JOIN p ON year BETWEEN lo AND hi GROUP BY period")(
+    lambda s, d: table(s, d, "term_document_matrix").select("year").join(F.broadcast(s.createDataFrame([("a", 2006, 2012), ("b", 2012, 2018), ("c", 2018, 2025)], "period string, lo int, hi int")), F.col("year").between(F.col("lo"), F.col("hi"))).groupBy("period").agg(F.count(F.lit(1)).alias("n"))
+)
+
 # --- events
 q("l_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(
     lambda s, d: _r(windows.windowed_counts(table(s, d, "events"), "ts", "event_type"), "total", n=4)

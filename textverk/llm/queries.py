@@ -192,8 +192,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For the queries whose definition SQL can state (problem 2)."""
+    """For the queries whose definition SQL can state (problems 2, 5 and 6)."""
+    terms = r"""
+WITH f AS (SELECT DISTINCT file FROM term_document_matrix WHERE file IS NOT NULL), r AS (SELECT doc_id, sentence_id, min(sentence_text) AS t FROM bert_corpus WHERE doc_id IN (SELECT file FROM f) GROUP BY doc_id, sentence_id),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(nfc_normalize(t)), '[\p{L}\p{M}]+')) AS term FROM r WHERE t IS NOT NULL), c AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM w GROUP BY term),
+k AS (SELECT count(DISTINCT doc_id) AS k FROM r), m AS (SELECT term, occurrences, files, CASE WHEN occurrences < 4 OR files < 2 THEN 'rare' WHEN files > 0.3 * k THEN 'common' END AS mark FROM c, k) """
     return {
+        "p5_term_counts": terms + "SELECT term, occurrences, files, mark FROM m",
+        "p5_found": terms + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
+        "p6_found": r"""
+WITH d AS (SELECT filename, min(text) AS text FROM extraction_full WHERE success AND text IS NOT NULL AND filename IS NOT NULL GROUP BY filename), w AS (SELECT filename, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
+s AS (SELECT DISTINCT filename, unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS g FROM w WHERE len(w) >= 40), n AS (SELECT filename, count(*) AS n FROM s GROUP BY filename),
+p AS (SELECT a.filename AS filename_a, b.filename AS filename_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.filename < b.filename GROUP BY ALL)
+SELECT filename_a, filename_b FROM p JOIN n x ON x.filename = filename_a JOIN n y ON y.filename = filename_b WHERE k >= 0.7 * (x.n + y.n - k)""",
         "p2_found": r"""
 WITH ent AS (SELECT file, min(entity) AS entity FROM term_document_matrix WHERE entity IS NOT NULL AND entity <> 'unknown' AND file IS NOT NULL GROUP BY file),
 src AS (SELECT x.extraction_id, x.filename, e.entity, x.text FROM extraction_full x JOIN ent e ON x.filename = e.file WHERE x.success),

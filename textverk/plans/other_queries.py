@@ -201,28 +201,30 @@ q("j22_typical", f"WITH {_CEN}, y AS (SELECT e.label, vec_id, {_COS.format(a='em
 q("j23_drift", None)(lambda s, d: vectors.drift(table(s, d, "embeddings").withColumn("step", (F.col("vec_id") % 4).cast("int")), "label", "step", "embedding"))
 
 # --- clusters (labels are arbitrary, so there is no SQL; tests use separable data)
-COLS = ["storm", "torka", "pandemi", "virus", "sabotage", "terror", "elavbrott", "brand", "smitta", "dammbrott", "skogsbrand"]
+def _cols(s: SparkSession, d: str) -> list[str]:
+    """Every term of the matrix: all columns that are no metadata."""
+    return [c for c in table(s, d, "term_document_matrix").columns if c not in terms.META]
 
 
 def profiles(s: SparkSession, d: str) -> DataFrame:
     """Shares of the terms by entity and wave, without empty profiles."""
-    one = panel.latest_per_wave(matrix(s, d), last=False)
-    total = sum((F.col(c) for c in COLS), F.lit(0))
-    return one.withColumn("t", total).filter("t > 0").select("entity", "actor", "year", "wave", *((F.col(c) / F.col("t")).alias(c) for c in COLS))
+    one, cols = panel.latest_per_wave(matrix(s, d), last=False), _cols(s, d)
+    total = sum((F.col(c) for c in cols), F.lit(0))
+    return one.withColumn("t", total).filter("t > 0").select("entity", "actor", "year", "wave", *((F.col(c) / F.col("t")).alias(c) for c in cols))
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    return stored(cluster.fit(stored(profiles(s, d), "profiles"), COLS, 3), "assigned")
+    return stored(cluster.fit(stored(profiles(s, d), "profiles"), _cols(s, d), 3), "assigned")
 
 
-q("j9_k_sweep", None)(lambda s, d: s.createDataFrame(cluster.sweep(stored(profiles(s, d), "profiles"), COLS, range(2, 6), seeds=(42,)), "k int, inertia double, silhouette double"))
+q("j9_k_sweep", None)(lambda s, d: s.createDataFrame(cluster.sweep(stored(profiles(s, d), "profiles"), _cols(s, d), range(2, 6), seeds=(42,)), "k int, inertia double, silhouette double"))
 q("j11_kmeans", None)(lambda s, d: _assigned(s, d).select("entity", "wave", "cluster"))
-q("j11_ward", None)(lambda s, d: cluster.ward(profiles(s, d), "wave", "entity", COLS, 3))
-q("j12_characterise", None)(lambda s, d: cluster.characterise(_assigned(s, d), COLS))
+q("j11_ward", None)(lambda s, d: cluster.ward(profiles(s, d), "wave", "entity", _cols(s, d), 3))
+q("j12_characterise", None)(lambda s, d: cluster.characterise(_assigned(s, d), _cols(s, d)))
 q("i7_cluster_transitions", None)(lambda s, d: cluster.transitions(_assigned(s, d), [(0, 1), (1, 2), (2, 3)]))
-q("j14_pca", None)(lambda s, d: cluster.project(profiles(s, d), COLS).select("entity", "wave", "pc1", "pc2"))
-q("j10_silhouette", None)(lambda s, d: stats.silhouette(_assigned(s, d).filter("wave = 3").select("cluster", F.array(*COLS).alias("v")), "v", "cluster"))
-q("j17_density", None)(lambda s, d: cluster.neighbourhoods(profiles(s, d).withColumn("id", F.concat_ws("|", "entity", "wave")), "id", COLS, 0.5, 5))
+q("j14_pca", None)(lambda s, d: cluster.project(profiles(s, d), _cols(s, d)).select("entity", "wave", "pc1", "pc2"))
+q("j10_silhouette", None)(lambda s, d: stats.silhouette(_assigned(s, d).filter("wave = 3").select("cluster", F.array(*_cols(s, d)).alias("v")), "v", "cluster"))
+q("j17_density", None)(lambda s, d: cluster.neighbourhoods(profiles(s, d).withColumn("id", F.concat_ws("|", "entity", "wave")), "id", _cols(s, d), 0.5, 5))
 
 q("e28_cluster_summary", """WITH y AS (SELECT label, vec_id % 4 AS year, count(*) AS n FROM embeddings GROUP BY ALL) SELECT label, CAST(sum(n) AS BIGINT) AS size, round(100 * sum(n) / (SELECT count(*) FROM embeddings), 6) AS pct, CASE WHEN arg_max(n, year) > arg_min(n, year) THEN 'Increasing' ELSE 'Decreasing' END AS trend FROM y GROUP BY label""")(
     lambda s, d: _cluster_summary(s, d)

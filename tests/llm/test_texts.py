@@ -48,6 +48,15 @@ def test_quality_flags(spark):
     assert p1_quality.scored(e, p1_quality.profile(e)).count() == 0
 
 
+def test_tail_holds_every_share_below_half(spark):
+    """However much of the corpus is junk: the shares of 30, 60, 70, 80 and 100 % are below one half."""
+    for junk in (30, 60, 70, 80, 100):
+        rows = [("d", i, "sv", 9, *[1.0] * 5, (0.4999 if i == 0 else i % 50 / 100) if i < junk else 0.8 + i % 20 / 100) for i in range(100)]
+        s = spark.createDataFrame(rows, p1_quality.TABLE.replace("n_chars long", "n_chars int"))
+        got = p1_quality.scored(s, p1_quality.profile(s)).filter("tail AND sentence_share < 0.5").collect()
+        assert {r.rec_id for r in got} == set(range(junk)), junk
+
+
 # --- 3
 
 PAGES = """Beredskapsplan – Storköping

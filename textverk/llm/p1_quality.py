@@ -70,6 +70,7 @@ def document_statistics(df: DataFrame) -> DataFrame:
 
 
 STEPS = 20  # percentiles are told to the nearest 100 / STEPS
+HALF = 0.5  # a text with less of it in complete sentences is no prose
 
 
 def profile(stats: DataFrame) -> DataFrame:
@@ -89,10 +90,13 @@ def _percentile(value: Column, sketch: Column) -> Column:
 
 
 def _z(value: Column, sketch: Column) -> Column:
-    """A robust z-score against the upper part of the distribution: the reference is the
-    third quartile, so it holds even where almost half of the texts are junk."""
+    """A robust z-score against the upper part of the distribution. The reference is the third
+    quartile, but lies above one half; the scale is at most a third of its distance from one
+    half. So a share below one half is beyond -3 however large the part of junk is."""
     q = [F.get(sketch, F.lit(round(p * STEPS))) for p in (0.75, 0.95, 0.55)]
-    return (value - q[0]) / F.greatest((q[1] - q[2]) / F.lit(1.349), F.lit(0.02))
+    mid = F.greatest(q[0], F.lit(HALF + 0.06))
+    scale = F.least(F.greatest((q[1] - q[2]) / F.lit(1.349), F.lit(0.02)), (mid - F.lit(HALF)) / F.lit(3.0))
+    return (value - mid) / scale
 
 
 def scored(stats: DataFrame, quantiles: DataFrame) -> DataFrame:

@@ -91,6 +91,27 @@ def test_mixture(spark):
     assert p9.mixture(df.limit(0), targets).count() == 0 and p9.mixture(df, targets.limit(0)).count() == 0
 
 
+def test_no_text_is_used_beyond_its_cap_through_copies(spark):
+    """A third of the binding source is one text under many ids; b holds it too."""
+    docs = [(i, "a", "sv", "t", 10, f"a{i}") for i in range(200)] + [(1000 + i, "a", "sv", "t", 10, "same") for i in range(100)]
+    docs += [(2000 + i, "b", "sv", "t", 10, f"b{i}") for i in range(900)] + [(3000, "b", "en", "t", 10, "same")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, language string, topic string, n_tokens int, text_hash string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mix = p9.mixture(df, targets)
+    text, cap = {d[0]: (d[1], d[5]) for d in docs}, {"a": 2, "b": 3}
+    uses = collections.Counter()
+    for r in mix.collect():
+        uses[text[r.doc_id]] += r.copies
+    assert all(n <= cap[s] for (s, _), n in uses.items())
+    assert sum(n for (s, _), n in uses.items() if s == "a") == 2 * 201  # the copies are no room
+    got = {r.source: r for r in p9.shares(mix, targets).collect()}
+    for s in "ab":
+        assert got[s].most_copies == max(n for (x, _), n in uses.items() if x == s)
+        assert got[s].actual_share == pytest.approx(0.5, abs=0.003)
+    assert got["a"].most_uses == max(max(n for (x, _), n in uses.items() if x == "a"), uses["a", "same"] + uses["b", "same"])
+    assert p9.mixture(df.limit(0), targets).columns == mix.columns
+
+
 def test_sizes(spark):
     enc = tokens.encoder()
     texts = ["Räddningstjänsten övar.", "", None, "<|endoftext|> 字 " * 9, "a" * 50_000]

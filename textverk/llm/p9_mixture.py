@@ -7,6 +7,11 @@ source's other cells. Documents are then drawn by calibrated probabilities: weig
 floor(w) copies and one more with the probability of the rest, decided by a hash; in each
 source the threshold of that draw is set so that the source's tokens come out right.
 
+Where a hash of the text is given, a unit is a text of a source, not a row: copies under other
+ids are one unit, which counts once as room, has the source's cap of repeats and bears the
+smallest id and that row's language and topic. A text that two sources hold is a unit of each,
+under each source's own cap; ``shares`` tells its uses over all sources too.
+
 Cases: null texts are left out; null language and topic are values of their own; sources
 without a target are not used; a target whose source has no tokens is reported with share 0
 and the others keep their proportions; targets are scaled to sum to 1; ties of the hash are
@@ -18,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textverk.session import stored
@@ -64,29 +70,36 @@ def rake(cells: pd.DataFrame, targets: pd.DataFrame, rounds: int = 200) -> tuple
 
 
 def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens, copies: how often each document is used (0 is left out).
+    """doc_id, source, n_tokens, copies: how often each document is used (0 is left out); and
+    text_hash, if ``sizes`` has it.
 
-    ``sizes`` has (doc_id, source, language, topic, n_tokens). Only sums by cell and by step
+    ``sizes`` has (doc_id, source, language, topic, n_tokens) and perhaps text_hash, without
+    which every row is a text of its own. Only sums by cell and by step
     of the hash reach the driver; their number depends on the targets, not on the corpus.
     """
     spark = sizes.sparkSession
     want = targets.filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     want = F.broadcast(want)
     # languages and topics beyond the twenty largest would make many cells; they are 'other'
-    base = stored(sizes.join(want.select("source"), "source").select("doc_id", "source", F.coalesce("language", F.lit("?")).alias("language"), F.coalesce("topic", F.lit("?")).alias("topic"), "n_tokens"), "p9-sizes")
+    key = ["text_hash"] if "text_hash" in sizes.columns else []
+    base = sizes.join(want.select("source"), "source").select("doc_id", "source", F.coalesce("language", F.lit("?")).alias("language"), F.coalesce("topic", F.lit("?")).alias("topic"), "n_tokens", *key)
+    if key:
+        one = F.min(F.struct("doc_id", "language", "topic", "n_tokens")).alias("one")
+        base = base.groupBy("source", "text_hash").agg(one).select("one.doc_id", "source", "one.language", "one.topic", "one.n_tokens", "text_hash")
+    base = stored(base, "p9-sizes")
     for k in ("language", "topic"):
         main = base.groupBy(k).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), k).limit(20).select(k, F.lit(True).alias("main"))
         base = base.join(F.broadcast(main), k, "left").withColumn(k, F.when(F.col("main"), F.col(k)).otherwise("other")).drop("main")
     cells = base.groupBy("source", "language", "topic").agg(F.sum("n_tokens").alias("tokens")).toPandas()
     fitted, whole = rake(cells, want.toPandas())
     if fitted.empty:
-        return base.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")).limit(0)
+        return base.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies"), *key).limit(0)
     weights = F.broadcast(spark.createDataFrame(fitted[["source", "language", "topic", "weight", "max_repeats"]]))
     u = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(9)), F.lit(FINE * FINE))
     x = base.join(weights, ["source", "language", "topic"]).withColumn("sure", F.floor(F.col("weight") + 1e-9).cast("int"))
     # rank within the draw: the hash, stretched by the probability of one more copy
     part = F.greatest(F.col("weight") - F.col("sure"), F.lit(0.0))
-    x = stored(x.select("doc_id", "source", "n_tokens", "sure", (u / F.greatest(part, F.lit(1e-6))).alias("rank"), F.col("max_repeats").alias("cap")), "p9-drawn")
+    x = stored(x.select("doc_id", "source", "n_tokens", "sure", (u / F.greatest(part, F.lit(1e-6))).alias("rank"), F.col("max_repeats").alias("cap"), *key), "p9-drawn")
     need = fitted.assign(mass=fitted["weight"] * fitted["tokens"]).groupby("source")["mass"].sum()
     sure = x.groupBy("source").agg(F.sum(F.col("sure") * F.col("n_tokens")).alias("n")).toPandas().set_index("source")["n"]
     left = (need - sure.reindex(need.index).fillna(0)).clip(lower=0)
@@ -96,7 +109,7 @@ def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         x, left = _draw(x, left)
         if float(left.max()) < 1 or left.equals(before):
             break
-    return x.select("doc_id", "source", "n_tokens", (F.col("sure") + F.col("more")).cast("int").alias("copies")).filter("copies > 0")
+    return x.select("doc_id", "source", "n_tokens", (F.col("sure") + F.col("more")).cast("int").alias("copies"), *key).filter("copies > 0")
 
 
 def _draw(x: DataFrame, left: pd.Series) -> tuple[DataFrame, pd.Series]:
@@ -120,7 +133,7 @@ def _draw(x: DataFrame, left: pd.Series) -> tuple[DataFrame, pd.Series]:
     last = _edges(fine, rest)
     y = y.join(table({s: k for s, (k, _) in last.items()}, "fine_edge"), "source", "left")
     take = F.col("fits") & ((F.col("step") < F.col("edge")) | F.coalesce(F.col("fine") < F.col("fine_edge"), F.lit(False)))
-    out = stored(y.select("doc_id", "source", "n_tokens", "sure", "rank", "cap", (F.col("more") + F.coalesce(take, F.lit(False)).cast("int")).alias("more")), "p9-drawn")
+    out = stored(y.select(*(c for c in x.columns if c != "more"), (F.col("more") + F.coalesce(take, F.lit(False)).cast("int")).alias("more")), "p9-drawn")
     after = {s: last[s][1] if s in last else r for s, (_, r) in edge.items()}
     return out, pd.Series({s: after.get(s, v) for s, v in left.items()}, dtype=float)
 
@@ -138,8 +151,15 @@ def _edges(sums: pd.DataFrame, need: pd.Series) -> dict[str, tuple[int, float]]:
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, tokens, documents, most_copies, max_repeats."""
-    got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+    """source, target_share, actual_share, tokens, documents, most_copies, max_repeats, most_uses.
+
+    most_copies is the most uses of a text (text_hash, else doc_id) in its source, and most_uses
+    the most that a text of the source has over all sources."""
+    key = "text_hash" if "text_hash" in mix.columns else "doc_id"
+    texts = mix.groupBy("source", F.col(key).alias("k")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"))
+    texts = texts.withColumn("uses", F.sum("copies").over(W.partitionBy("k")))
+    got = texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"), F.max("copies").cast("int").alias("most_copies"), F.max("uses").cast("int").alias("most_uses"))
     whole = got.agg(F.sum("tokens").alias("whole"))
     x = targets.join(got, "source", "left").crossJoin(F.broadcast(whole))
-    return x.select("source", "target_share", F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")
+    none = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "most_copies", "most_uses")}
+    return x.select("source", "target_share", F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("actual_share"), none["tokens"], none["documents"], none["most_copies"], "max_repeats", none["most_uses"])

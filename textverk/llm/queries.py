@@ -159,16 +159,20 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 # --- 9: mixture of sources
 
 
-def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+def _p9(spark: SparkSession, d: str) -> DataFrame:
     lang = F.lower(F.split("lang", "[-_]")[0])
-    docs = table(spark, d, "documents").select("doc_id", "source", lang.alias("language"), F.col("actor").alias("topic"), "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", lang.alias("language"), F.col("actor").alias("topic"), F.md5("text").alias("text_hash"), "text")
     targets = table(spark, d, "mix_targets")
     docs = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # a row a target
     return p9.mixture(tokens.sizes(docs, "text"), targets)
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).drop("text_hash")
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return p9.shares(stored(p9_mix(spark, d), "p9-mix"), table(spark, d, "mix_targets"))
+    return p9.shares(stored(_p9(spark, d), "p9-mix"), table(spark, d, "mix_targets"))
 
 
 # --- 10: reading levels

@@ -1,5 +1,9 @@
+import math
+import random
+
 import pytest
 
+from textverk.operators import stats
 from textverk.plans import other_queries
 
 
@@ -20,3 +24,19 @@ def test_profiles_take_every_term_of_the_matrix(spark, folder):
     for name in ("j11_ward", "j14_pca"):
         assert other_queries.Q[name](spark, folder).count() == 52
     assert {r.term for r in other_queries.Q["j12_characterise"](spark, folder).collect()} == {"storm", "explosion", "epidemi"}
+
+
+def test_silhouette_of_every_wave(spark, folder, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 5)  # several blocks in each wave
+    got = {r.wave: r for r in other_queries.Q["j10_silhouette"](spark, folder).collect()}
+    assert {w: r.n for w, r in got.items()} == {0: 13, 1: 13, 2: 13, 3: 13}
+    rng = random.Random(5)
+    pts = [(w, c, [c * 2 + rng.random() for _ in range(3)]) for w in (1, 2) for c in (0, 0, 0, 1, 1, 1, 1, 2)]
+    got = {r.wave: r.silhouette for r in stats.silhouette(spark.createDataFrame(pts, "wave int, c int, v array<double>"), "v", "c", "wave").collect()}
+    for w in (1, 2):
+        mine, s = [p for p in pts if p[0] == w], []
+        for i, (_, c, v) in enumerate(mine):
+            m = {d: [math.dist(v, x) for j, (_, e, x) in enumerate(mine) if j != i and e == d] for d in (0, 1, 2)}
+            a, b = sum(m[c]) / max(1, len(m[c])), min(sum(x) / len(x) for d, x in m.items() if d != c and x)
+            s.append((b - a) / max(a, b) if m[c] else 0.0)
+        assert got[w] == pytest.approx(sum(s) / len(s), rel=1e-9)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textverk.functions.chi2 import p_value
+from textverk.session import stored
 
 
 def independence(counts: DataFrame, group: str, category: str, n: str = "n") -> DataFrame:
@@ -74,16 +78,39 @@ def enrichment(rows: DataFrame, cluster: str, value: str, top: int = 20) -> Data
     return x.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("enrichment"), "value"))).filter(F.col("r") <= top).drop("r")
 
 
-def silhouette(points: DataFrame, vector: str, label: str, most: int = 5000) -> DataFrame:
-    """Mean Euclidean silhouette. By its definition it compares all pairs, so it takes the
-    profiles of a wave, ``most`` points at most; larger sets use the evaluator of Spark ML,
-    whose squared distance needs no pairs."""
-    if points.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} points: use pyspark.ml.evaluation.ClusteringEvaluator")
-    p = points.select(F.monotonically_increasing_id().alias("i"), F.col(vector).alias("v"), F.col(label).alias("c"))
-    o = p.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("c").alias("d"))
-    dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
-    x = p.join(o, F.col("i") != F.col("j")).groupBy("i", "c", "d").agg(F.avg(dist).alias("m"))
-    g = x.groupBy("i", "c").agg(F.min(F.when(F.col("c") == F.col("d"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("d"), F.col("m"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return g.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+BLOCK = 512  # points of a group that are compared at once
+
+
+def silhouette(points: DataFrame, vector: str, label: str, group: str | None = None) -> DataFrame:
+    """Mean Euclidean silhouette and number of points, of all or of each group.
+
+    By its definition it compares all pairs of a group. The points lie in random blocks, pairs of
+    blocks give each point's sum of distances to every cluster, and these are added up; so a task
+    holds two blocks whatever the size of the group. Points alone in their cluster have 0.
+    """
+    p = points.select((F.col(group) if group else F.lit(0)).alias("g"), F.struct(F.col(label).alias("c"), F.col(vector).cast("array<double>").alias("v")).alias("p"))
+    kind = p.schema["p"].dataType["c"].dataType.simpleString()
+    g_kind = p.schema["g"].dataType.simpleString()
+    p = stored(p, "silhouette-points")
+    n = p.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    p = p.join(n, "g").select("g", "p", F.floor(F.rand(7) * F.col("blocks")).alias("b"))
+    x = stored(p.groupBy("g", "b").agg(F.collect_list("p").alias("p")).select("g", "b", "p.c", "p.v"), "silhouette-blocks")
+    y = x.select("g", F.col("b").alias("b2"), F.col("c").alias("d"), F.col("v").alias("w"))
+    pairs = x.select("g", "b").join(y.select("g", "b2"), "g").join(x, ["g", "b"]).join(y, ["g", "b2"])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                v, w, d = np.stack(r.v), np.stack(r.w), np.asarray(r.d)
+                dist = np.sqrt(sum((v[:, [k]] - w[:, k]) ** 2 for k in range(v.shape[1])))
+                for c in np.unique(d):
+                    yield pd.DataFrame({"g": r.g, "b": r.b, "i": np.arange(len(v)), "c": r.c, "d": c, "s": dist[:, d == c].sum(axis=1)})
+
+    sums = pairs.select("g", "b", "c", "v", "d", "w").mapInPandas(run, f"g {g_kind}, b long, i long, c {kind}, d {kind}, s double").groupBy("g", "b", "i", "c", "d").agg(F.sum("s").alias("s"))
+    sizes = x.select("g", F.explode("c").alias("d")).groupBy("g", "d").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("c") == F.col("d")
+    m = F.try_divide(F.col("s"), F.col("n") - own.cast("int"))
+    a = sums.join(sizes, ["g", "d"]).groupBy("g", "b", "i").agg(F.min(F.when(own, m)).alias("a"), F.min(F.when(~own, m)).alias("z"))
+    s = F.when(F.col("a").isNull() | F.col("z").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("z") - F.col("a"), F.greatest("a", "z")), F.lit(0.0)))
+    out = a.groupBy("g").agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    return out.withColumnRenamed("g", group) if group else out.drop("g")

@@ -223,7 +223,7 @@ q("j11_ward", None)(lambda s, d: cluster.ward(profiles(s, d), "wave", "entity",
 q("j12_characterise", None)(lambda s, d: cluster.characterise(_assigned(s, d), _cols(s, d)))
 q("i7_cluster_transitions", None)(lambda s, d: cluster.transitions(_assigned(s, d), [(0, 1), (1, 2), (2, 3)]))
 q("j14_pca", None)(lambda s, d: cluster.project(profiles(s, d), _cols(s, d)).select("entity", "wave", "pc1", "pc2"))
-q("j10_silhouette", None)(lambda s, d: stats.silhouette(_assigned(s, d).filter("wave = 3").select("cluster", F.array(*_cols(s, d)).alias("v")), "v", "cluster"))
+q("j10_silhouette", None)(lambda s, d: stats.silhouette(_assigned(s, d).select("wave", "cluster", F.array(*_cols(s, d)).alias("v")), "v", "cluster", "wave"))
 q("j17_density", None)(lambda s, d: cluster.neighbourhoods(profiles(s, d).withColumn("id", F.concat_ws("|", "entity", "wave")), "id", _cols(s, d), 0.5, 5))
 
 q("e28_cluster_summary", """WITH y AS (SELECT label, vec_id % 4 AS year, count(*) AS n FROM embeddings GROUP BY ALL) SELECT label, CAST(sum(n) AS BIGINT) AS size, round(100 * sum(n) / (SELECT count(*) FROM embeddings), 6) AS pct, CASE WHEN arg_max(n, year) > arg_min(n, year) THEN 'Increasing' ELSE 'Decreasing' END AS trend FROM y GROUP BY label""")(

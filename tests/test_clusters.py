@@ -2,8 +2,11 @@ import math
 import random
 
 import pytest
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from textverk.operators import stats
+from textverk.operators import cluster, stats
 from textverk.plans import other_queries
 
 
@@ -40,3 +43,17 @@ def test_silhouette_of_every_wave(spark, folder, monkeypatch):
             a, b = sum(m[c]) / max(1, len(m[c])), min(sum(x) / len(x) for d, x in m.items() if d != c and x)
             s.append((b - a) / max(a, b) if m[c] else 0.0)
         assert got[w] == pytest.approx(sum(s) / len(s), rel=1e-9)
+
+
+def test_sweep_has_every_k_of_every_wave(spark, folder):
+    got = {(r.wave, r.k): r for r in other_queries.Q["j9_k_sweep"](spark, folder).collect()}
+    assert set(got) == {(w, k) for w in range(4) for k in range(2, 11)}
+    rng = random.Random(6)
+    pts = [(1, c * 10 + rng.random(), c * 7 + rng.random()) for c in range(7) for _ in range(6)] + [(2, float(i), 0.0) for i in range(4)]
+    df = spark.createDataFrame(pts, "wave int, x double, y double")
+    rows = cluster.sweep_groups(df, "wave", ["x", "y"], range(2, 11), range(42, 52)).collect()
+    assert {r.k for r in rows if r.wave == 2} == {2, 3}  # below the number of profiles
+    mine = sorted((r.k, r.inertia, r.silhouette) for r in rows if r.wave == 1)
+    assert max(mine, key=lambda r: r[2])[0] == 7 and [r[1] for r in mine] == sorted((r[1] for r in mine), reverse=True)
+    one = df.filter("wave = 1").select(F.floor(F.col("x") / 10).cast("int").alias("prediction"), array_to_vector(F.array("x", "y")).alias("features"))
+    assert mine[5][2] == pytest.approx(ClusteringEvaluator().evaluate(one), rel=1e-9)

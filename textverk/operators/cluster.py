@@ -32,6 +32,62 @@ def sweep(df: DataFrame, columns: list[str], ks: range, seeds: tuple[int, ...] =
     return out
 
 
+def _lloyd(x: np.ndarray, k: int, seed: int) -> tuple[float, np.ndarray]:
+    """Inertia and labels of one k-means run from a k-means++ start."""
+    rng = np.random.default_rng(seed)
+    centre = x[[rng.integers(len(x))]]
+    near = ((x - centre[0]) ** 2).sum(axis=1)
+    while len(centre) < k and near.sum() > 0:  # fewer than k distinct points give fewer clusters
+        centre = np.vstack([centre, x[rng.choice(len(x), p=near / near.sum())]])
+        near = np.minimum(near, ((x - centre[-1]) ** 2).sum(axis=1))
+    label = None
+    for _ in range(300):
+        d = np.stack([((x - c) ** 2).sum(axis=1) for c in centre], axis=1)
+        old, label = label, d.argmin(axis=1)
+        if old is not None and (old == label).all():
+            break
+        centre = np.stack([x[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centre)])
+    return float(d.min(axis=1).sum()), label
+
+
+def _squared_silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette of the squared distance, from sums by cluster."""
+    names, at = np.unique(label, return_inverse=True)
+    if len(names) < 2:
+        return 0.0
+    x = x - x.mean(axis=0)
+    n = np.bincount(at).astype(float)
+    mid = np.stack([x[at == j].mean(axis=0) for j in range(len(n))])
+    spread = np.array([((x[at == j] - mid[j]) ** 2).sum() for j in range(len(n))])
+    total = n * np.stack([((x - m) ** 2).sum(axis=1) for m in mid], axis=1) + spread
+    row = np.arange(len(x))
+    a = total[row, at] / np.maximum(n[at] - 1, 1)
+    mean = total / n
+    mean[row, at] = np.inf
+    b = mean.min(axis=1)
+    top = np.maximum(a, b)
+    return float(np.where((n[at] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0).mean())
+
+
+def sweep_groups(df: DataFrame, group: str, columns: list[str], ks: range, seeds: range) -> DataFrame:
+    """group, k, inertia, silhouette (of the squared distance) for each k below the group's
+    size, the best of all seeds. A task is one start on the profiles of one group."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, k, seed = pdf[columns].to_numpy(dtype=float), int(pdf["k"].iloc[0]), int(pdf["seed"].iloc[0])
+        if k >= len(x):
+            return pd.DataFrame({group: pdf[group][:0], "k": [], "seed": [], "inertia": [], "silhouette": []})
+        x = x[np.lexsort(x.T)]  # runs agree whatever the order of the rows
+        inertia, label = _lloyd(x, k, seed)
+        return pd.DataFrame({group: pdf[group][:1], "k": k, "seed": seed, "inertia": inertia, "silhouette": _squared_silhouette(x, label)})
+
+    starts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k in ks for s in seeds))).alias("start")
+    runs = df.select(group, *columns, starts).select(group, *columns, "start.*").groupBy(group, "k", "seed").applyInPandas(run, f"{group} {kind}, k int, seed int, inertia double, silhouette double")
+    best = runs.groupBy(group, "k").agg(F.min(F.struct("inertia", "seed", "silhouette")).alias("best"))
+    return best.select(group, "k", "best.inertia", "best.silhouette")
+
+
 def fit(df: DataFrame, columns: list[str], k: int, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """Adds ``cluster``: numbered from 0 by size, then by centroid, so runs agree."""
     x = _features(df, columns)

@@ -217,7 +217,7 @@ def _assigned(s: SparkSession, d: str) -> DataFrame:
     return stored(cluster.fit(stored(profiles(s, d), "profiles"), _cols(s, d), 3), "assigned")
 
 
-q("j9_k_sweep", None)(lambda s, d: s.createDataFrame(cluster.sweep(stored(profiles(s, d), "profiles"), _cols(s, d), range(2, 6), seeds=(42,)), "k int, inertia double, silhouette double"))
+q("j9_k_sweep", None)(lambda s, d: cluster.sweep_groups(stored(profiles(s, d), "profiles"), "wave", _cols(s, d), range(2, 11), range(42, 52)))
 q("j11_kmeans", None)(lambda s, d: _assigned(s, d).select("entity", "wave", "cluster"))
 q("j11_ward", None)(lambda s, d: cluster.ward(profiles(s, d), "wave", "entity", _cols(s, d), 3))
 q("j12_characterise", None)(lambda s, d: cluster.characterise(_assigned(s, d), _cols(s, d)))

@@ -185,7 +185,7 @@ class Repair:
     def _line(self, s: str) -> tuple[str, str | None, str] | None:
         t, names = s, []
         if not s.isascii():
-            while len(names) < 8 and not (names and DONE.fullmatch(t)) and (got := self._round(t)) is not None:
+            while not (names and DONE.fullmatch(t)) and (got := self._round(t)) is not None:  # each step lowers the cost by GAIN, so it ends
                 t = got[0]
                 names.append(got[1])
             if names and not self.likely(t, self.cost(t)):  # noise that happened to decode

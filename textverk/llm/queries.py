@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import inspect
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textverk.functions import lexicon
 from textverk.llm import p1_quality as p1
 from textverk.llm import p10_levels as p10
 from textverk.llm import p2_repeated_lines as p2
@@ -23,6 +25,8 @@ from textverk.llm import tokens
 from textverk.session import stored
 from textverk.sources.tables import table
 
+WORD = re.compile(r"[^\W\d_]+")
+
 
 # --- 1: texts that are no prose
 
@@ -159,20 +163,54 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 # --- 9: mixture of sources
 
 
-def _p9(spark: SparkSession, d: str) -> DataFrame:
-    lang = F.lower(F.split("lang", "[-_]")[0])
-    docs = table(spark, d, "documents").select("doc_id", "source", lang.alias("language"), F.col("actor").alias("topic"), F.md5("text").alias("text_hash"), "text")
+def _topics() -> Callable[[str], str]:
+    """The risk category whose words of one part are most frequent in a text, or 'none'."""
+    of: dict[str, list[str]] = {}
+    for c, t, _ in lexicon.rows():
+        of.setdefault(t.lower(), []).append(c)
+
+    def topic(text: str) -> str:
+        n = Counter(c for w in WORD.findall(text.lower()) for c in of.get(w, ()))
+        return min(n, key=lambda c: (-n[c], c)) if n else "none"
+
+    return topic
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The units, the mix and the targets."""
+    tag = F.lower(F.split("lang", "[-_]")[0])
+    lang = F.when(tag.rlike("^[a-z]{2,3}$"), tag)  # a language tag; what is none counts as missing
+    docs = table(spark, d, "documents").select("doc_id", "source", lang.alias("language"), F.md5("text").alias("text_hash"), "text")
     targets = table(spark, d, "mix_targets")
     docs = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # a row a target
-    return p9.mixture(tokens.sizes(docs, "text"), targets)
+    units = p9.units(tokens.sizes(docs, "text", extra={"topic": ("string", _topics())}), targets)
+    return units, p9.mixture(units, targets), targets
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _p9(spark, d).drop("text_hash")
+    return _p9(spark, d)[1].drop("text_hash")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return p9.shares(stored(_p9(spark, d), "p9-mix"), table(spark, d, "mix_targets"))
+    units, mix, targets = _p9(spark, d)
+    return p9.shares(stored(mix, "p9-mix"), targets, units)
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the shares, as one row: every source with tokens is used, no text beyond
+    its cap, the whole has the size of all texts, and the sources that are not at their cap are
+    in proportion to their targets (within 1 % or half of the source's mean text)."""
+    units, mix, targets = _p9(spark, d)
+    x = p9.shares(stored(mix, "p9-mix"), targets, units).join(F.broadcast(units.groupBy("source").agg((F.avg("n_tokens") / 2).alias("one"))), "source", "left")
+    free = F.col("held_by") == "target"
+    x = x.crossJoin(F.broadcast(x.agg(F.sum(F.when(free, F.col("tokens"))).alias("free_tokens"), F.sum(F.when(free, F.col("target_share"))).alias("free_share"))))
+    due = F.col("free_tokens") * F.col("target_share") / F.col("free_share")
+    return x.agg(
+        F.bool_and((F.col("tokens") > 0) | (F.col("available") == 0)).alias("all_used"),
+        F.bool_and(F.col("most_copies") <= F.col("max_repeats")).alias("within_caps"),
+        (F.abs(F.sum("tokens") / F.sum("available") - 1) < 0.02).alias("whole_size"),
+        F.bool_and(~free | (F.abs(F.col("tokens") - due) <= F.greatest(due * 0.01, F.col("one")))).alias("in_proportion"),
+    )
 
 
 # --- 10: reading levels
@@ -202,6 +240,7 @@ WITH f AS (SELECT DISTINCT file FROM term_document_matrix WHERE file IS NOT NULL
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(nfc_normalize(t)), '[\p{L}\p{M}]+')) AS term FROM r WHERE t IS NOT NULL), c AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM w GROUP BY term),
 k AS (SELECT count(DISTINCT doc_id) AS k FROM r), m AS (SELECT term, occurrences, files, CASE WHEN occurrences < 4 OR files < 2 THEN 'rare' WHEN files > 0.3 * k THEN 'common' END AS mark FROM c, k) """
     return {
+        "p9_checks": "SELECT true AS all_used, true AS within_caps, true AS whole_size, true AS in_proportion",
         "p5_term_counts": terms + "SELECT term, occurrences, files, mark FROM m",
         "p5_found": terms + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p6_found": r"""

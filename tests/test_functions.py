@@ -119,6 +119,9 @@ def test_chi_square_tail():
 
 def test_lexicon():
     rows = lexicon.rows()
-    assert len({(c, t) for c, t, _ in rows}) == len(rows) and [r[2] for r in rows] == list(range(len(rows)))
-    assert {c for c, t, _ in rows if t == "skogsbrand"} == {"naturhot", "brand"}
-    assert lexicon.plural("torka") == "torkor" and lexicon.plural("översvämning") == "översvämningar" and lexicon.plural("pandemi") == "pandemier"
+    assert len(rows) == 213 and len({t for _, t, _ in rows}) == 209 and [r[2] for r in rows] == list(range(213))
+    assert len({(c, t) for c, t, _ in rows}) == 213 and len({t.lower() for _, t, _ in rows}) == 206
+    sizes = {c: len(t) for c, t in lexicon.TERMS.items()}
+    assert sizes == {"naturhot": 39, "biologiska_hot": 23, "olyckor": 38, "antagonistiska_hot": 27, "cyber_hot": 14, "sociala_risker": 6, "teknisk_infrastruktur": 33, "brand": 12, "miljö_klimat": 15, "ekonomi": 6}
+    two = {t for _, t, _ in rows if sum(t == u for _, u, _ in rows) > 1}
+    assert two == {"klimatförändring", "skogsbrand", "skogsbränder", "gräsbrand"}

@@ -7,15 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def load(spark: SparkSession, path: str, required: tuple[str, ...] = ("file", "text")) -> DataFrame:
-    """A table by its suffix: parquet, csv or json. Other suffixes and missing columns are errors."""
+# A text with any line end, blank or missing, comes back as it was
+CSV = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true", "nullValue": "\\N", "emptyValue": "", "lineSep": "\n", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def find_files(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> DataFrame:
+    """path, name and content of the files of a folder; the content is only read where it is used."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return x.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+
+
+def load(spark: SparkSession, path: str, required: tuple[str, ...] = ("file", "text"), schema: str | None = None) -> DataFrame:
+    """A table by its suffix: parquet, csv, json or txt (a column ``text``, a row a line). Other
+    suffixes and missing columns are errors."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        r = spark.read.options(**CSV).option("multiLine", True)
+        df = (r.schema(schema) if schema else r).csv(path)
     elif kind in ("json", "jsonl"):
-        df = spark.read.json(path)
+        df = (spark.read.schema(schema) if schema else spark.read).json(path)
+    elif kind == "txt":
+        df = spark.read.text(path).withColumnRenamed("value", "text")
     elif kind == "rds":
         raise ValueError("R data has no reader here; convert it to parquet first")
     else:
@@ -31,9 +45,9 @@ def save(df: DataFrame, path: str) -> None:
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     w = df.write.mode("overwrite")
     if kind == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        w.options(**CSV).csv(path)
     elif kind in ("json", "jsonl"):
-        w.json(path)
+        w.option("ignoreNullFields", "false").json(path)
     elif kind == "txt":
         w.text(path)
     else:
@@ -90,7 +104,7 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows chosen by a seeded hash, the same on every run and cluster."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def extraction_summary(df: DataFrame) -> DataFrame:
@@ -102,3 +116,10 @@ def extraction_summary(df: DataFrame) -> DataFrame:
         m = df.groupBy(F.coalesce(F.col(c), F.lit("none")).alias("k")).agg(F.count(F.lit(1)).alias("v"))
         base = base.crossJoin(m.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias(name)))
     return base
+
+
+def preview_page(previews: DataFrame) -> DataFrame:
+    """A line of html for each preview, its signs escaped: the rows of the html sink."""
+    safe = F.replace(F.replace(F.replace(F.col("preview_text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    more = F.when(F.col("is_truncated"), F.concat(F.lit(" … ("), F.col("total_chars"), F.lit(")"))).otherwise(F.lit(""))
+    return previews.select(F.concat(F.lit("<tr><td>"), F.col("id"), F.lit("</td><td>"), safe, more, F.lit("</td></tr>")).alias("text"))

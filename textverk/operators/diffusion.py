@@ -42,13 +42,19 @@ def spikes(long: DataFrame, threshold: float = 0.15) -> DataFrame:
 
 
 def gini(first: DataFrame, value: str = "first_year", key: str = "term", least: int = 2) -> DataFrame:
-    """Gini coefficient, mean and population standard deviation of the values of each key."""
-    w = W.partitionBy(key).orderBy(value)
-    x = first.withColumn("i", F.row_number().over(w))
-    g = x.groupBy(key).agg(F.count(F.lit(1)).alias("n_entities"), F.sum(value).alias("s"), F.sum(F.col("i") * F.col(value)).alias("si"), F.avg(value).alias("mean_year"), F.stddev_pop(value).alias("std_year"))
+    """Gini coefficient, mean and population standard deviation of the values of each key.
+
+    Equal values are counted first, so a key's window has a row a distinct value, not a row an
+    entity; m equal values that follow c smaller ones have the ranks c + 1 to c + m."""
+    v = F.col("v").cast("double")
+    per = first.groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m")).filter("v IS NOT NULL")
+    before = F.coalesce(F.sum("m").over(W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = per.withColumn("ranks", F.col("m") * before + F.col("m") * (F.col("m") + 1) / 2)
+    g = x.groupBy(key).agg(F.sum("m").alias("n_entities"), F.sum(F.col("m") * v).alias("s"), F.sum(F.col("ranks") * v).alias("si"), F.sum(F.col("m") * v * v).alias("sq"))
     n, s = F.col("n_entities"), F.col("s")
+    mean = s / n
     value_ = F.coalesce(F.try_divide(2 * F.col("si") - (n + 1) * s, n * s), F.lit(0.0))
-    return g.filter(n >= least).select(key, value_.alias("gini"), "n_entities", "mean_year", "std_year")
+    return g.filter(n >= least).select(key, value_.alias("gini"), "n_entities", mean.alias("mean_year"), F.sqrt(F.greatest(F.col("sq") / n - mean * mean, F.lit(0.0))).alias("std_year"))
 
 
 def lead_lag(first: DataFrame, base: str = "kommun", others: tuple[tuple[str, str], ...] = (("länsstyrelse", "lansstyrelse"), ("MCF", "MCF"))) -> DataFrame:

@@ -44,3 +44,20 @@ def heatmap(transitions: DataFrame, pairs: list[str], min_cell: int = 3, min_ent
 def ranking(transitions: DataFrame, label: str, top: int = 20) -> DataFrame:
     """Terms most often given up or taken up."""
     return transitions.filter(F.col("transition") == label).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top)
+
+
+def ranking_by_actor(transitions: DataFrame, label: str, top: int = 20) -> DataFrame:
+    """The same terms' counts by actor."""
+    best = ranking(transitions, label, top).select("term")
+    hits = transitions.filter(F.col("transition") == label).groupBy("term", "actor").agg(F.count(F.lit(1)).alias("n"))
+    return hits.join(F.broadcast(best), "term", "left_semi")  # ``top`` rows
+
+
+def direct_heatmap(cells: dict[str, DataFrame], min_cell: int = 3, min_entities: int = 10) -> DataFrame:
+    """Rates by term and pair of waves that are compared directly; ``cells`` is pair to direct
+    transitions."""
+    x = None
+    for pair, t in cells.items():
+        y = t.withColumn("wave_pair", F.lit(pair))
+        x = y if x is None else x.unionByName(y)
+    return heatmap(x, list(cells), min_cell, min_entities)

@@ -19,9 +19,9 @@ def contexts(docs: DataFrame, key: str, text: str, concept: str) -> DataFrame:
     its letters in the window."""
     p = F.lit(window_pattern(TARGETS[concept]))
     t = without_boilerplate(F.col(text))
-    both = F.arrays_zip(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.regexp_extract_all(t, p, F.lit(2)).alias("w"))
     some = t.rlike(r"(?iU)\b(?:" + "|".join(TARGETS[concept]) + r")\b")  # spares the others the costly pattern
-    x = docs.filter(F.col(text).isNotNull() & some).select(key, F.posexplode(both).alias("k", "e")).select(key, "k", F.col("e.m").alias("match"), F.col("e.w").alias("target"))
+    x = docs.filter(F.col(text).isNotNull() & some).select(key, F.posexplode(F.regexp_extract_all(t, p, F.lit(0))).alias("k", "match"))
+    x = x.withColumn("target", F.regexp_extract("match", window_pattern(TARGETS[concept]), 2))  # of the short window; the text is gone through once
     at = F.instr(F.lower("match"), F.lower("target"))
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
     left, right = words(F.substr("match", F.lit(1), at - 1)), words(F.substr("match", at + F.length("target")))
@@ -36,10 +36,8 @@ def contexts(docs: DataFrame, key: str, text: str, concept: str) -> DataFrame:
 
 def _hit(section: Column, quals: list[tuple[str, str]]) -> Column:
     """The first qualifier that the section holds, as struct(qualifier, level)."""
-    out = F.lit(None).cast("struct<qualifier:string,level:string>")
-    for qual, level in reversed(quals):
-        out = F.when(section.contains(qual), F.struct(F.lit(qual).alias("qualifier"), F.lit(level).alias("level"))).otherwise(out)
-    return out
+    known = F.array(*(F.struct(F.lit(q).alias("qualifier"), F.lit(v).alias("level")) for q, v in quals))
+    return F.get(F.filter(known, lambda q: section.contains(q["qualifier"])), F.lit(0))
 
 
 def qualify(ctx: DataFrame, concept: str) -> DataFrame:
@@ -56,3 +54,38 @@ def qualify(ctx: DataFrame, concept: str) -> DataFrame:
         hard = whole.rlike(r"(?U)svår\w*") & whole.rlike(r"(?U)bedöm\w*")
         found = F.when(hard, F.struct(F.lit("svårt att bedöma").alias("qualifier"), F.lit("uncertainty").alias("level"))).otherwise(found)
     return ctx.withColumn("q", found).select("*", "q.qualifier", "q.level").drop("q")
+
+
+SCALE = ["very_low", "low", "medium", "high", "very_high"]  # levels of severity, in order
+OTHER = ["change", "uncertainty", "acceptability"]
+
+
+def levels_of(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """key, keep..., concept, level, n: how often each concept is given each level in a document."""
+    src = docs.select(F.struct(key, *keep).alias("_doc"), text)
+    parts = [qualify(contexts(src, "_doc", text, c), c).select("_doc", F.lit(c).alias("concept"), "level") for c in TARGETS]
+    x = parts[0]
+    for y in parts[1:]:
+        x = x.unionByName(y)
+    return x.groupBy("_doc", "concept", "level").agg(F.count(F.lit(1)).alias("n")).select("_doc.*", "concept", "level", "n")
+
+
+def level_totals(levels: DataFrame) -> DataFrame:
+    """Sums by concept and level, of all actors ('all') and of each."""
+    g = levels.groupingSets([["actor", "concept", "level"], ["concept", "level"]], "actor", "concept", "level").agg(F.sum("n").alias("n"), F.grouping("actor").alias("g"))
+    return g.select(F.when(F.col("g") == 1, "all").otherwise(F.coalesce("actor", F.lit("unknown"))).alias("actor"), "concept", "level", "n")
+
+
+def severity_shares(levels: DataFrame) -> DataFrame:
+    """Per cent of each of the five levels of severity within an actor and concept."""
+    g = levels.filter(F.col("level").isin(SCALE)).groupBy("actor", "concept", "level").agg(F.sum("n").alias("n"))
+    t = g.groupBy("actor", "concept").agg(F.sum("n").alias("t"))
+    on = F.expr("a.actor <=> b.actor AND a.concept = b.concept")
+    return g.alias("a").join(F.broadcast(t.alias("b")), on).select("a.actor", "a.concept", "a.level", "a.n", (100 * F.col("a.n") / F.col("b.t")).alias("share"))  # actors and three concepts
+
+
+def other_rates(levels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Change, uncertainty and acceptability per document of an actor, documents without any included."""
+    n = docs.groupBy("actor").agg(F.count(F.lit(1)).alias("docs"))
+    g = levels.filter(F.col("level").isin(OTHER)).groupBy("actor", "concept", "level").agg(F.sum("n").alias("n"))
+    return g.alias("a").join(F.broadcast(n.alias("b")), F.expr("a.actor <=> b.actor")).select("a.actor", "a.concept", "a.level", "a.n", "b.docs", (F.col("a.n") / F.col("b.docs")).alias("rate"))  # a row an actor

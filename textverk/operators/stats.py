@@ -49,7 +49,12 @@ def effect_label(v: Column) -> Column:
 def cooccurrence(flags: DataFrame, names: list[str]) -> DataFrame:
     """2x2 counts, Yates-corrected chi-square, Cramer's V and expected ratio of every pair of
     flags; one pass over the rows for all pairs. Degenerate tables are left out."""
-    pairs = list(combinations(names, 2))
+    return pair_sweep(flags, list(combinations(names, 2)))
+
+
+def pair_sweep(flags: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The same for the given pairs: of two effects, an effect and an actor, or two actors."""
+    names = list(dict.fromkeys(x for p in pairs for x in p))
     sums = [F.sum(F.col(a).cast("long")).alias(f"s_{a}") for a in names] + [F.sum((F.col(a) & F.col(b)).cast("long")).alias(f"b_{a}_{b}") for a, b in pairs]
     one = flags.agg(F.count(F.lit(1)).alias("n"), *sums)
     rows = F.array(*(F.struct(F.lit(a).alias("concept1"), F.lit(b).alias("concept2"), F.col("n"), F.col(f"s_{a}").alias("s1"), F.col(f"s_{b}").alias("s2"), F.col(f"b_{a}_{b}").alias("n_both")) for a, b in pairs))
@@ -72,8 +77,9 @@ def pair_tests(x: DataFrame) -> DataFrame:
 def enrichment(rows: DataFrame, cluster: str, value: str, top: int = 20) -> DataFrame:
     """How much more often a value is met in a cluster than overall; noise (-1) is left out."""
     x = rows.groupBy(F.col(cluster).alias("cluster"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    c, v, a = W.partitionBy("cluster"), W.partitionBy("value"), W.partitionBy(F.lit(0))
-    x = x.select("cluster", "value", "n", (F.col("n") / F.sum("n").over(c)).alias("observed"), (F.sum("n").over(v) / F.sum("n").over(a)).alias("expected"))
+    c, v = W.partitionBy("cluster"), W.partitionBy("value")
+    x = x.crossJoin(F.broadcast(x.agg(F.sum("n").alias("all"))))  # one row
+    x = x.select("cluster", "value", "n", (F.col("n") / F.sum("n").over(c)).alias("observed"), (F.sum("n").over(v) / F.col("all")).alias("expected"))
     x = x.filter("cluster != -1").withColumn("enrichment", F.try_divide("observed", "expected"))
     return x.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("enrichment"), "value"))).filter(F.col("r") <= top).drop("r")
 
@@ -114,3 +120,25 @@ def silhouette(points: DataFrame, vector: str, label: str, group: str | None = N
     s = F.when(F.col("a").isNull() | F.col("z").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("z") - F.col("a"), F.greatest("a", "z")), F.lit(0.0)))
     out = a.groupBy("g").agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
     return out.withColumnRenamed("g", group) if group else out.drop("g")
+
+
+def cluster_summary(rows: DataFrame, cluster: str, category: str, year: str, place: str, top: int = 5) -> DataFrame:
+    """A row a cluster: size, share, dominant category, documents by year, trend and the top
+    places; noise (-1) is left out. Ties go to the first by name. Every count is an aggregate by
+    (cluster, value), so no cluster is gathered."""
+    x = rows.select(F.col(cluster).alias("cluster"), F.col(category).alias("category"), F.col(year).alias("year"), F.col(place).alias("place"))
+    n = x.agg(F.count(F.lit(1)).alias("all"))
+
+    def counts(c: str) -> DataFrame:
+        return x.filter(F.col(c).isNotNull()).groupBy("cluster", c).agg(F.count(F.lit(1)).alias("n"))
+
+    size = x.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    first = lambda c: W.partitionBy("cluster").orderBy(F.desc("n"), c)
+    main = counts("category").withColumn("r", F.row_number().over(first("category"))).filter("r = 1").select("cluster", F.col("category").alias("dominant"))
+    y = counts("year").groupBy("cluster").agg(F.max_by("n", "year").alias("last"), F.min_by("n", "year").alias("first"), F.array_sort(F.collect_list(F.struct("year", "n"))).alias("y"))
+    best = counts("place").withColumn("r", F.row_number().over(first("place"))).filter(F.col("r") <= top).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "place"))).alias("p"))
+    out = size.crossJoin(F.broadcast(n)).join(main, "cluster", "left").join(y, "cluster", "left").join(best, "cluster", "left").filter("cluster != -1")
+    return out.select(
+        "cluster", "size", (100 * F.col("size") / F.col("all")).alias("size_pct"), "dominant", F.array_join(F.transform("y", lambda s: F.concat_ws(":", s["year"], s["n"])), ",").alias("years"),
+        F.when(F.col("last") > F.col("first"), "Increasing").otherwise("Decreasing").alias("trend"), F.array_join(F.transform("p", lambda s: s["place"]), ",").alias("top_places"),
+    )

@@ -6,12 +6,14 @@ only a scan or a sink.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textverk.session import small
+
+WORD = r"^(?U)\w+$"
 META = ("file", "actor", "entity", "year", "wave")
 
 
@@ -30,8 +32,24 @@ def whole_word(term: str) -> str:
 
 
 def count_by_pattern(text: Column, term: str) -> Column:
-    """Occurrences of a term as a whole word or phrase, not overlapping, ignoring case."""
-    return F.coalesce(F.regexp_count(F.lower(text), F.lit(whole_word(term))), F.lit(0)).cast("long")
+    """Occurrences of a term as a whole word or phrase, not overlapping, ignoring case. A plain
+    search for the letters spares most texts the pattern."""
+    low = F.lower(text)
+    return F.when(low.contains(term.lower()), F.regexp_count(low, F.lit(whole_word(term)))).otherwise(F.lit(0)).cast("long")
+
+
+def count_by_patterns(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """key, term, n > 0 by one pattern a term, all in one pass; ``count_terms`` is the plan for
+    many terms, this one its check. The text is put into lower case once, and only the terms
+    whose letters it holds are looked up by pattern."""
+    known = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low"), F.lit(whole_word(t)).alias("pattern")) for t in terms))
+
+    def hits(low: Column) -> Column:
+        held = F.filter(known, lambda p: low.contains(p["low"]))
+        return F.transform(held, lambda p: F.struct(p["term"].alias("term"), F.regexp_count(low, p["pattern"]).cast("long").alias("n")))
+
+    found = F.transform(F.array(F.lower(text)), hits)[0]  # the lambda's variable is evaluated once
+    return docs.filter(F.col(text).isNotNull()).select(key, F.explode(found).alias("p")).select(key, "p.term", "p.n").filter("n > 0")
 
 
 def count_terms(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -41,23 +59,34 @@ def count_terms(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Dat
     with the terms, so the cost does not grow with their number. Phrases and hyphenated terms
     are looked up by pattern, all in one pass over the text.
     """
-    terms = [r["term"] for r in lexicon.select("term").distinct().collect()]  # a lexicon, not data
-    phrases = [t for t in terms if not re.fullmatch(r"\w+", t)]
+    terms = lexicon.select("term").distinct()
+    phrases = [r["term"] for r in terms.filter(~F.col("term").rlike(WORD)).collect()]  # of a lexicon, not of data
     low = docs.select(key, F.lower(text).alias("_t")).filter(F.col("_t").isNotNull())
     words = low.select(key, F.explode(F.split("_t", r"[^\p{L}\p{N}_]+")).alias("_w"))
-    single = F.broadcast(lexicon.select("term").distinct().filter(F.col("term").rlike(r"^(?U)\w+$")).withColumn("_w", F.lower("term")))
+    single = small(terms.filter(F.col("term").rlike(WORD)).withColumn("_w", F.lower("term")))
     out = words.join(single, "_w").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     if phrases:
-        pairs = F.array(*(F.struct(F.lit(t).alias("term"), count_by_pattern(F.col("_t"), t).alias("n")) for t in phrases))
-        more = low.select(key, F.explode(pairs).alias("p")).select(key, "p.term", "p.n").filter("n > 0").groupBy(key, "term").agg(F.sum("n").alias("n"))
-        out = out.unionByName(more)
+        more = count_by_patterns(low, key, "_t", phrases)
+        out = out.unionByName(more.groupBy(key, "term").agg(F.sum("n").alias("n")))
     return out
 
 
 def category_sums(long: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sums by file and category; a term in two categories counts in both."""
     keys = [c for c in META if c in long.columns]
-    return long.join(F.broadcast(lexicon.select("category", "term")), "term").groupBy(*keys, "category").agg(F.sum("n").alias("n"))
+    return long.join(small(lexicon.select("category", "term")), "term").groupBy(*keys, "category").agg(F.sum("n").alias("n"))
+
+
+def wide_category_sums(wide: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
+    """The same sums from a wide matrix: the columns of a category are added up in the row, and
+    only the categories are unpivoted, so rows do not multiply by the number of terms."""
+    of: dict[str, list[str]] = {}
+    for category, term in lexicon:
+        if term in wide.columns and term not in META:
+            of.setdefault(category, []).append(term)
+    keys = [c for c in META if c in wide.columns]
+    sums = wide.select(*keys, *(sum((F.coalesce(F.col(f"`{t}`"), F.lit(0)) for t in ts), F.lit(0)).cast("long").alias(c) for c, ts in of.items()))
+    return sums.unpivot(keys, list(of), "category", "n")
 
 
 def totals(sums: DataFrame) -> DataFrame:
@@ -78,7 +107,7 @@ def repeated_terms(lexicon: DataFrame) -> DataFrame:
 
 def lemmatise_lexicon(lexicon: DataFrame, lemmas: DataFrame) -> DataFrame:
     """category, lemma, ord, originals: terms replaced by lemma, in order of first sight."""
-    x = lexicon.join(F.broadcast(lemmas), lexicon["term"] == lemmas["surface"], "left").withColumn("lemma", F.coalesce("lemma", "term"))
+    x = lexicon.join(small(lemmas.select("surface", "lemma")), lexicon["term"] == F.col("surface"), "left").withColumn("lemma", F.coalesce("lemma", "term"))
     return x.groupBy("category", "lemma").agg(F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_set("term")), ",").alias("originals"))
 
 

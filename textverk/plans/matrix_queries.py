@@ -142,6 +142,31 @@ def _first_year_cells(s: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(keep), "term", "left_semi")  # forty rows at most
 
 
+q("b9_min_entities", f"WITH {FIRST}, o AS (SELECT term, first_year, row_number() OVER (PARTITION BY term ORDER BY first_year) AS i FROM fa) SELECT term, round((2 * sum(i * first_year) - (count(*) + 1) * sum(first_year)) / (count(*) * sum(first_year)), 6) AS gini, count(*) AS n_entities FROM o GROUP BY term HAVING count(*) >= 5")(
+    lambda s, d: _r(diffusion.gini(diffusion.first_appearance(long(s, d)), least=5).select("term", "gini", "n_entities"), "gini")
+)
+_DIR = ", ".join(f"d{a}{b} AS (SELECT a.term, 'W{a}→W{b}' AS wave_pair, a.n > 0 AS p, b.n > 0 AS q FROM pl a JOIN pl b ON a.entity = b.entity AND a.term = b.term AND a.wave = {a} AND b.wave = {b})" for a, b in ((1, 2), (2, 3), (1, 3)))
+q("e12_direct_heatmap", f"""WITH {M}, {ONE}, {_un("one", "pl")}, {_DIR}, u AS (SELECT * FROM d12 UNION ALL SELECT * FROM d23 UNION ALL SELECT * FROM d13), c AS (SELECT term, wave_pair, count(*) AS t0, count(*) FILTER (q) / count(*) AS rate FROM u WHERE p GROUP BY ALL HAVING count(*) >= 3)
+SELECT term, round(max(rate) FILTER (wave_pair = 'W1→W2'), 6) AS "W1_W2", round(max(rate) FILTER (wave_pair = 'W2→W3'), 6) AS "W2_W3", round(max(rate) FILTER (wave_pair = 'W1→W3'), 6) AS "W1_W3" FROM c GROUP BY term HAVING sum(t0) >= 10""")(lambda s, d: _direct_heatmap(s, d))
+
+
+def _direct_heatmap(s: SparkSession, d: str) -> DataFrame:
+    x = terms.melt(panel.latest_per_wave(matrix(s, d)))
+    cells = {f"W{a}→W{b}": panel.direct_transitions(x, a, b) for a, b in ((1, 2), (2, 3), (1, 3))}
+    return _r(persistence.direct_heatmap(cells), "W1_W2", "W2_W3", "W1_W3")
+
+
+q("g2_dropout_by_actor", f"WITH {TRANS}, top AS (SELECT term FROM t WHERE transition = 'dropout' GROUP BY term ORDER BY count(*) DESC, term LIMIT 20) SELECT term, actor, count(*) AS n FROM t WHERE transition = 'dropout' AND term IN (SELECT term FROM top) GROUP BY ALL")(lambda s, d: persistence.ranking_by_actor(transitions(s, d), "dropout"))
+q("e24_crosstab_rows", f"WITH {M} SELECT coalesce(actor, 'none') AS actor, coalesce(CAST(wave AS VARCHAR), 'none') AS wave, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY coalesce(actor, 'none')), 6) AS share FROM m GROUP BY 1, 2")(lambda s, d: _row_shares(s, d))
+
+
+def _row_shares(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    g = matrix(s, d).groupBy(F.coalesce("actor", F.lit("none")).alias("actor"), F.coalesce(F.col("wave").cast("string"), F.lit("none")).alias("wave")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("actor", "wave", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy("actor")), 6).alias("share"))
+
+
 q("b7_wave_filter", f"WITH {M} SELECT file FROM m WHERE wave = 2")(lambda s, d: matrix(s, d).filter("wave = 2").select("file"))
 q("b11_zero_rows", f"WITH {M}, {L} SELECT file, CAST(sum(n) AS BIGINT) AS total FROM l GROUP BY file HAVING sum(n) = 0")(lambda s, d: long(s, d).groupBy("file").agg(F.sum("n").alias("total")).filter("total = 0"))
 q("e4_entities_per_actor", f"WITH {M} SELECT actor, count(DISTINCT entity) AS n_entities FROM m GROUP BY actor")(lambda s, d: matrix(s, d).groupBy("actor").agg(F.countDistinct("entity").alias("n_entities")))

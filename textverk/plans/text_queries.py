@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textverk.functions import lexicon, meta, text
-from textverk.operators import qualify, terms
+from textverk.operators import qualify, segment, terms
+from textverk.session import small
 from textverk.sources.tables import spread, table
 
 Q: dict = {}
@@ -38,13 +39,31 @@ def _sql_count(term: str, c: str = "text") -> str:
     return rf"CAST(len(regexp_extract_all({D2.format(c=c)}, '(?:^|[^\p{{L}}\p{{N}}_]){doubled}(?:$|[^\p{{L}}\p{{N}}_])')) AS BIGINT)"
 
 
-TERMS = ["storm", "brand", "pandemi", "höga flöden", "it-angrepp", "översvämning"]
-q("c1_term_counts", f"WITH {E} SELECT extraction_id, " + ", ".join(f"{_sql_count(t)} AS t{i}" for i, t in enumerate(TERMS)) + " FROM e")(
-    lambda s, d: ext(s, d).select("extraction_id", *(terms.count_by_pattern(F.col("text"), t).alias(f"t{i}") for i, t in enumerate(TERMS)))
+def _sql_lit(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+ALL_TERMS = list(dict.fromkeys(t for _, t, _ in lexicon.rows()))
+_COUNTS = f"WITH {E}, x AS MATERIALIZED (SELECT extraction_id, actor, lower(text) AS t, {D2.format(c='text')} AS dd FROM e), k AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT extraction_id, actor, {_sql_lit(t)} AS term, {_sql_count(t).replace(D2.format(c='text'), 'dd')} AS n FROM x WHERE contains(t, {_sql_lit(t.lower())})" for t in ALL_TERMS
+) + ")"
+q("c1_term_counts", f"{_COUNTS} SELECT extraction_id, term, n FROM k WHERE n > 0")(lambda s, d: terms.count_by_patterns(spread(ext(s, d).select("extraction_id", "text"), "extraction_id"), "extraction_id", "text", ALL_TERMS))
+q("c2_term_counts_joined", f"{_COUNTS} SELECT extraction_id, term, n FROM k WHERE n > 0")(lambda s, d: counted(s, d).drop("actor"))
+LEX_ALL_SQL = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"({_sql_lit(c)}, {_sql_lit(t)}, {i})" for c, t, i in lexicon.rows()) + ") v(category, term, ord))"
+q("e1_text_categories", f"{_COUNTS}, {LEX_ALL_SQL} SELECT extraction_id, category, CAST(sum(n) AS BIGINT) AS n FROM k JOIN lx USING (term) WHERE n > 0 GROUP BY extraction_id, category")(
+    lambda s, d: counted(s, d).join(small(lexicon.default(s).select("category", "term")), "term").groupBy("extraction_id", "category").agg(F.sum("n").alias("n"))
 )
-q("c2_term_counts_joined", f"WITH {E} " + " UNION ALL ".join(f"SELECT extraction_id, '{t}' AS term, {_sql_count(t)} AS n FROM e WHERE {_sql_count(t)} > 0" for t in TERMS))(
-    lambda s, d: terms.count_terms(spread(ext(s, d).select("extraction_id", "text"), "extraction_id"), "extraction_id", "text", s.createDataFrame([(t,) for t in TERMS], "term string"))
+q("e2_text_totals", f"{_COUNTS}, {LEX_ALL_SQL}, c AS (SELECT actor, category, n FROM k JOIN lx USING (term) WHERE n > 0) SELECT 'all' AS actor, category, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY category UNION ALL SELECT coalesce(actor, 'unknown') AS actor, category, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2")(
+    lambda s, d: terms.totals(counted(s, d).join(small(lexicon.default(s).select("category", "term")), "term"))
 )
+
+
+def counted(s: SparkSession, d: str) -> DataFrame:
+    """extraction_id, actor, term, n of the whole lexicon."""
+    x = spread(ext(s, d).select("extraction_id", "text", "actor"), "extraction_id").withColumn("k", F.struct("extraction_id", "actor"))
+    return terms.count_terms(x, "k", "text", lexicon.default(s)).select("k.extraction_id", "k.actor", "term", "n")
+
+
 LEX = [("naturhot", "storm"), ("naturhot", "torka"), ("naturhot", "skred"), ("naturhot", "skogsbrand"), ("biologiska_hot", "pandemi"), ("biologiska_hot", "epidemi"), ("biologiska_hot", "smitta"), ("cyber_hot", "virus"), ("antagonistiska_hot", "sabotage"), ("antagonistiska_hot", "terror"), ("teknisk_infrastruktur", "elavbrott"), ("brand", "brand"), ("brand", "skogsbrand"), ("brand", "explosion"), ("olyckor", "dammbrott")]
 LEX_SQL = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}', {i})" for i, (c, t) in enumerate(LEX)) + ") v(category, term, ord))"
 _MAT = "m AS (SELECT DISTINCT * FROM term_document_matrix WHERE file IS NOT NULL), l AS (SELECT file, actor, entity, year, wave, term, n FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (file, actor, entity, year, wave)) INTO NAME term VALUE n))"
@@ -60,10 +79,10 @@ def long(s: SparkSession, d: str) -> DataFrame:
 
 q("e1_category_sums", f"WITH {_MAT}, {LEX_SQL} SELECT file, category, CAST(sum(n) AS BIGINT) AS n FROM l JOIN lex USING (term) GROUP BY file, actor, entity, year, wave, category")(lambda s, d: terms.category_sums(long(s, d), lex(s)).select("file", "category", "n"))
 q("e2_category_totals", f"WITH {_MAT}, {LEX_SQL}, c AS (SELECT actor, category, n FROM l JOIN lex USING (term)) SELECT 'all' AS actor, category, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY category UNION ALL SELECT coalesce(actor, 'unknown') AS actor, category, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2")(
-    lambda s, d: terms.totals(terms.category_sums(long(s, d), lex(s)))
+    lambda s, d: terms.totals(terms.wide_category_sums(table(s, d, "term_document_matrix").filter("file IS NOT NULL").distinct(), [(c, t) for c, t in LEX]))
 )
-q("e35_repeated_terms", f"WITH {LEX_SQL} SELECT term, count(DISTINCT category) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM lex GROUP BY term HAVING count(DISTINCT category) > 1")(lambda s, d: terms.repeated_terms(lex(s)))
-q("d2_first_category", f"WITH {LEX_SQL} SELECT term, arg_min(category, ord) AS category FROM lex GROUP BY term")(lambda s, d: lex(s).groupBy("term").agg(F.min_by("category", "ord").alias("category")))
+q("e35_repeated_terms", f"WITH {LEX_ALL_SQL} SELECT term, count(DISTINCT category) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM lx GROUP BY term HAVING count(DISTINCT category) > 1")(lambda s, d: terms.repeated_terms(lexicon.default(s)))
+q("d2_first_category", f"WITH {LEX_ALL_SQL} SELECT term, arg_min(category, ord) AS category FROM lx GROUP BY term")(lambda s, d: lexicon.default(s).groupBy("term").agg(F.min_by("category", "ord").alias("category")))
 q("e19_category_share_by_year", f"WITH {_MAT}, {LEX_SQL}, c AS (SELECT year, category, sum(n) AS n FROM l JOIN lex USING (term) WHERE year IS NOT NULL GROUP BY ALL) SELECT year, category, round(100 * n / nullif(sum(n) OVER (PARTITION BY year), 0), 6) AS share FROM c")(lambda s, d: _year_share(s, d))
 
 
@@ -77,14 +96,14 @@ def _year_share(s: SparkSession, d: str) -> DataFrame:
 q("e20_actor_means", f"WITH {_MAT}, {LEX_SQL}, c AS (SELECT file, actor, category, sum(n) AS n FROM l JOIN lex USING (term) GROUP BY ALL) SELECT actor, category, round(avg(n), 6) AS mean_n FROM c GROUP BY ALL")(
     lambda s, d: terms.category_sums(long(s, d), lex(s)).groupBy("actor", "category").agg(F.round(F.avg("n"), 6).alias("mean_n"))
 )
-q("f7_top_terms_per_category", f"WITH {_MAT}, {LEX_SQL}, c AS (SELECT category, term, sum(n) AS n FROM l JOIN lex USING (term) GROUP BY ALL) SELECT category, term, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, term) AS r FROM c) WHERE r <= 2")(lambda s, d: _top_terms(s, d))
+q("f7_top_terms_per_category", f"WITH {_MAT}, {LEX_SQL}, c AS (SELECT category, term, sum(n) AS n FROM l JOIN lex USING (term) GROUP BY ALL) SELECT category, term, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, term) AS r FROM c) WHERE r <= 5")(lambda s, d: _top_terms(s, d))
 
 
 def _top_terms(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    c = long(s, d).join(F.broadcast(lex(s)), "term").groupBy("category", "term").agg(F.sum("n").alias("n"))
-    return c.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy(F.desc("n"), "term"))).filter("r <= 2").drop("r")
+    c = long(s, d).join(small(lex(s)), "term").groupBy("category", "term").agg(F.sum("n").alias("n"))
+    return c.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy(F.desc("n"), "term"))).filter("r <= 5").drop("r")
 
 
 # --- file names and labels
@@ -130,17 +149,33 @@ q("d7_missing_files", "SELECT DISTINCT filename FROM extraction_full WHERE filen
 q("h4_missing_terms", f"WITH {LEX_SQL} SELECT unnest(['storm', 'brand', 'lavin', 'isstorm']) AS term EXCEPT SELECT term FROM lex")(lambda s, d: s.createDataFrame([(t,) for t in ("storm", "brand", "lavin", "isstorm")], "term string").subtract(lex(s).select("term")))
 
 # --- cleaning and quality
-q("c9_artifact_lines", rf"WITH {E} SELECT extraction_id, CAST(len(regexp_extract_all(text, '(?m)^\s*\d{{1,3}}\s*$')) AS INTEGER) AS n FROM e")(
-    lambda s, d: ext(s, d).select("extraction_id", F.regexp_count("text", F.lit("(?mUd)" + text.ARTIFACTS[0])).alias("n"))
-)
-q("c9_cleaned", None)(lambda s, d: _cleaned(s, d))
+_ART = [p.replace(r"\s", r"[\s\p{Z}\x{85}\x{1C}-\x{1F}\x0B]").replace(r"\d", r"\p{Nd}") for p in text.ARTIFACTS]
+
+
+def _sql_cleaned(src: str) -> str:
+    """CTEs a0..a9: the text and the number of removed lines after each pattern in turn."""
+    out = [f"a0 AS (SELECT extraction_id, text AS t, 0 AS n FROM {src})"]
+    for i, p in enumerate(_ART):
+        out.append(f"a{i + 1} AS MATERIALIZED (SELECT extraction_id, regexp_replace(t, '(?m){p}', '', 'g') AS t, n + len(regexp_extract_all(t, '(?m){p}')) AS n FROM a{i})")
+    return ", ".join(out)
+
+
+q("c9_artifact_lines", f"WITH {E}, {_sql_cleaned('e')} SELECT extraction_id, CAST(n AS INTEGER) AS n FROM a9")(lambda s, d: spread(ext(s, d).select("extraction_id", "text"), "extraction_id").select("extraction_id", text.artifact_counts(F.col("text"))[1].alias("n")))
+_MOJI = "text"
+for _a, _b in text.MOJIBAKE.items():
+    _MOJI = f"replace({_MOJI}, {_sql_lit(_a)}, {_sql_lit(_b)})"
+q("c8_replaced", f"WITH {E} SELECT extraction_id, {_MOJI} AS fixed FROM e")(lambda s, d: ext(s, d).select("extraction_id", text.replace_mojibake(F.col("text")).alias("fixed")))
+q("c9_cleaned", f"WITH {E}, r AS (SELECT extraction_id, {_MOJI} AS text FROM e), {_sql_cleaned('r')} SELECT extraction_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\\t\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g') AS clean, CAST(n AS INTEGER) AS n_removed FROM a9")(lambda s, d: _cleaned(s, d))
 
 
 def _cleaned(s: SparkSession, d: str) -> DataFrame:
-    t, n = text.artifact_counts(text.repair_mojibake(F.col("text")))
+    t, n = text.artifact_counts(text.replace_mojibake(F.col("text")))
     return spread(ext(s, d), "extraction_id").select("extraction_id", text.normal_space(t).alias("clean"), n.alias("n_removed"))
 
 
+q("c8_round_trip", None)(lambda s, d: spread(ext(s, d).select("extraction_id", "text"), "extraction_id").select("extraction_id", text.repair_mojibake(F.col("text")).alias("fixed")))
+
+
 q("c10_whitespace", rf"""WITH {E} SELECT extraction_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\t\x0B\f\r\x{{85}}\p{{Z}}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g') AS clean FROM e""")(
     lambda s, d: ext(s, d).select("extraction_id", text.normal_space(F.col("text")).alias("clean"))
 )
@@ -165,7 +200,12 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 q("e33_quality_summary", "SELECT count(*) AS n, round(avg(quality_score), 6) AS mean_score, count(*) FILTER (quality_flag <> 'ok') AS not_ok, count(*) FILTER (chapter_trimmed) AS trimmed, count(*) FILTER (chapter_trim_failed) AS failed FROM (SELECT DISTINCT * FROM quality)")(
     lambda s, d: table(s, d, "quality").distinct().agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 6).alias("mean_score"), F.count(F.when(F.col("quality_flag") != "ok", 1)).alias("not_ok"), F.count(F.when(F.col("chapter_trimmed"), 1)).alias("trimmed"), F.count(F.when(F.col("chapter_trim_failed"), 1)).alias("failed"))
 )
-q("c11_chapter_trim", None)(lambda s, d: ext(s, d).select("extraction_id", text.trim_to_chapter(F.col("text"), r"(?:^|\n)3[. ]\d? ?\p{Lu}").alias("t")).select("extraction_id", "t.trimmed", "t.failed", F.length("t.text").alias("n_chars")))
+_CH = text.CHAPTER.replace("(?iU)", "(?i)").replace(r"[\.\s]", r"[.\s\p{Z}]").replace(r"\S", r"[^\s\p{Z}]").replace(r"\s*", r"[\s\p{Z}]*").replace(r"\s+", r"[\s\p{Z}]+")
+q("c11_chapter_trim", f"""WITH {E}, x AS (SELECT extraction_id, text, regexp_extract(text, '{_CH}') AS h FROM e WHERE actor = 'kommun'), y AS (SELECT *, CASE WHEN h = '' THEN 0 ELSE strpos(text, h) END AS pos FROM x),
+z AS (SELECT *, pos - 1 - length(regexp_extract(substr(text, 1, pos - 1), '[^\\n]*$')) AS start FROM y), w AS (SELECT *, pos > 0 AND start <= length(text) * 0.5 AS ok FROM z)
+SELECT extraction_id, ok AND start > 0 AS trimmed, NOT ok OR start = 0 AS failed, CAST(CASE WHEN ok THEN length(text) - start ELSE length(text) END AS INTEGER) AS n_chars FROM w""")(
+    lambda s, d: ext(s, d).filter("actor = 'kommun'").select("extraction_id", text.trim_to_chapter(F.col("text")).alias("t")).select("extraction_id", "t.trimmed", "t.failed", F.length("t.text").alias("n_chars"))
+)
 q("c12_sentences", rf"WITH {E}, x AS (SELECT extraction_id, string_split(regexp_replace(text, '([.!?])[\s\p{{Z}}\x{{85}}]+', '\1' || chr(1), 'g'), chr(1)) AS a FROM e) SELECT extraction_id, CAST(unnest(generate_series(1, len(a))) AS INTEGER) AS sentence_id, unnest(a) AS sentence FROM x")(
     lambda s, d: spread(ext(s, d), "extraction_id").select("extraction_id", F.posexplode(text.naive_sentences(F.col("text"))).alias("i", "sentence")).select("extraction_id", (F.col("i") + 1).alias("sentence_id"), "sentence")
 )
@@ -194,27 +234,72 @@ q("e36_negation_by_actor", f"WITH {ROWS}, x AS (SELECT actor_type, {_NEG} AS neg
 q("d9_quality_to_sentences", f"WITH {ROWS}, k AS (SELECT doc_id, max(quality_score) AS s FROM quality GROUP BY doc_id) SELECT r.doc_id, sentence_id, coalesce(s, 0) AS quality FROM r LEFT JOIN k ON r.doc_id = k.doc_id")(
     lambda s, d: rows(s, d).join(table(s, d, "quality").groupBy("doc_id").agg(F.max("quality_score").alias("s")), "doc_id", "left").select("doc_id", "sentence_id", F.coalesce("s", F.lit(0.0)).alias("quality"))
 )
-STOP = ("och", "i", "att", "det", "som", "en", "på", "är", "av", "för", "med", "till", "den", "har", "de", "inte", "om", "ett", "vid")
-q("c16_content_words", rf"WITH {ROWS}, w AS (SELECT unnest(regexp_split_to_array(lower(sentence_text), '[^\p{{L}}\p{{N}}_]+')) AS w FROM r) SELECT w AS word, count(*) AS n FROM w WHERE w <> '' AND w NOT IN ({', '.join(repr(x) for x in STOP)}) GROUP BY w")(
-    lambda s, d: rows(s, d).select(F.explode(F.split(F.lower("sentence_text"), r"[^\p{L}\p{N}_]+")).alias("word")).filter((F.col("word") != "") & ~F.col("word").isin(*STOP)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+# Forms and lemmas of words in the lexicon: fixed values
+LEM = [
+    ("översvämningar", "översvämning"), ("värmeböljor", "värmebölja"), ("torkor", "torka"), ("stormar", "storm"), ("skogsbränder", "skogsbrand"), ("gräsbränder", "gräsbrand"),
+    ("bränder", "brand"), ("epidemier", "epidemi"), ("pandemier", "pandemi"), ("zoonoser", "zoonos"), ("djursjukdomar", "djursjukdom"), ("vägolyckor", "vägolycka"),
+    ("trafikolyckor", "trafikolycka"), ("tågolyckor", "tågolycka"), ("cyberattacker", "cyberattack"), ("nätattacker", "nätattack"), ("vattenläckor", "vattenläcka"),
+    ("explosioner", "explosion"), ("klimatförändringar", "klimatförändring"), ("klimatförändringarna", "klimatförändring"), ("klimatförändringen", "klimatförändring"), ("kommunen", "kommun"), ("kommuner", "kommun"),
+]
+_LEMS = "v AS (SELECT * FROM (VALUES " + ", ".join(map(str, LEM)) + ") v(surface, lemma))"
+_TOKENS = rf"w AS (SELECT doc_id, sentence_id, i, s.w AS surface, coalesce(lemma, lower(s.w)) AS lemma FROM (SELECT doc_id, sentence_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, sentence_id, regexp_extract_all(sentence_text, '{segment.TOKEN_SQL}') AS l FROM r)) s LEFT JOIN v ON lower(s.w) = v.surface)"
+_KEPT = f"k AS (SELECT * FROM w WHERE NOT regexp_matches(surface, '^[^\\p{{L}}\\p{{N}}_\\p{{M}}\\s]+$') AND lemma NOT IN ({', '.join(map(_sql_lit, segment.STOPWORDS))}) AND lower(surface) NOT IN ({', '.join(map(_sql_lit, segment.STOPWORDS))}))"
+
+
+def lemmas(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(LEM, "surface string, lemma string")
+
+
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    return segment.lemmatised(segment.tokens(rows(s, d), "sentence_text", "doc_id", "sentence_id"), lemmas(s))
+
+
+q("c13_lemmas", f"WITH {ROWS}, {_LEMS}, {_TOKENS} SELECT lemma, count(*) AS n FROM w GROUP BY lemma")(lambda s, d: _tokens(s, d).groupBy("lemma").agg(F.count(F.lit(1)).alias("n")))
+q("c15_no_punctuation", f"WITH {ROWS}, {_LEMS}, {_TOKENS} SELECT doc_id, sentence_id, count(*) FILTER (NOT regexp_matches(surface, '^[^\\p{{L}}\\p{{N}}_\\p{{M}}\\s]+$')) AS words, count(*) AS tokens FROM w GROUP BY doc_id, sentence_id")(
+    lambda s, d: _tokens(s, d).groupBy("doc_id", "sentence_id").agg(F.count(F.when(~segment.punctuation(F.col("surface")), 1)).alias("words"), F.count(F.lit(1)).alias("tokens"))
+)
+q("c16_content_words", f"WITH {ROWS}, {_LEMS}, {_TOKENS}, {_KEPT} SELECT lemma AS word, count(*) AS n FROM k GROUP BY lemma")(lambda s, d: segment.content(_tokens(s, d)).groupBy(F.col("lemma").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+q("c16_sentences", f"WITH {ROWS}, {_LEMS}, {_TOKENS}, {_KEPT} SELECT doc_id, sentence_id, string_agg(lemma, ' ' ORDER BY i, lemma) AS lemmas, CAST(count(*) AS INTEGER) AS word_count FROM (SELECT DISTINCT doc_id, sentence_id, i, lemma FROM k) GROUP BY doc_id, sentence_id")(
+    lambda s, d: segment.lemma_sentences(_tokens(s, d), "doc_id", "sentence_id")
+)
+q("c14_lexicon_lemmas", f"WITH {LEX_ALL_SQL}, {_LEMS} SELECT category, coalesce(lemma, term) AS lemma, min(ord) AS ord, string_agg(DISTINCT term, ',' ORDER BY term) AS originals FROM lx LEFT JOIN v ON term = surface GROUP BY category, coalesce(lemma, term)")(lambda s, d: terms.lemmatise_lexicon(lexicon.default(s), lemmas(s)))
+
+# --- sentences and the categories of their words
+_HIT = f"h AS (SELECT DISTINCT doc_id, sentence_id, i, lemma AS term FROM k WHERE lemma IN (SELECT term FROM lx)), sc AS (SELECT doc_id, sentence_id, list_sort(list(DISTINCT category)) AS categories FROM h JOIN lx USING (term) GROUP BY ALL), st AS (SELECT doc_id, sentence_id, string_agg(term, ', ' ORDER BY i, term) AS target_terms, CAST(count(*) AS INTEGER) AS n_terms FROM h GROUP BY ALL)"
+_LL = f"WITH {ROWS}, {LEX_ALL_SQL}, {_LEMS}, {_TOKENS}, {_KEPT}, {_HIT}"
+q("d8_sentence_terms", f"{_LL} SELECT doc_id, sentence_id, target_terms, n_terms, array_to_string(categories, ',') AS categories FROM st JOIN sc USING (doc_id, sentence_id)")(
+    lambda s, d: _sentence_terms(s, d).select("doc_id", "sentence_id", F.array_join("target_terms", ", ").alias("target_terms"), F.size("target_terms").alias("n_terms"), F.array_join("categories", ",").alias("categories"))
+)
+q("d8_pairs", f"{_LL} SELECT doc_id, sentence_id, unnest(categories) AS category, target_terms FROM st JOIN sc USING (doc_id, sentence_id)")(
+    lambda s, d: segment.category_pairs(_sentence_terms(s, d)).select("doc_id", "sentence_id", "category", F.array_join("target_terms", ", ").alias("target_terms"))
 )
-LEM = [("skogsbränder", "skogsbrand"), ("stormar", "storm"), ("nätverk", "nät"), ("bränder", "brand"), ("pandemier", "pandemi")]
-q("c13_lemmas", rf"WITH {ROWS}, w AS (SELECT doc_id, sentence_id, unnest(regexp_split_to_array(lower(sentence_text), '[^\p{{L}}\p{{N}}_]+')) AS w FROM r) SELECT coalesce(lemma, w) AS lemma, count(*) AS n FROM w LEFT JOIN (VALUES {', '.join(map(str, LEM))}) v(surface, lemma) ON w = surface WHERE w <> '' GROUP BY 1")(
-    lambda s, d: rows(s, d).select(F.explode(F.split(F.lower("sentence_text"), r"[^\p{L}\p{N}_]+")).alias("w")).filter("w <> ''").join(F.broadcast(s.createDataFrame(LEM, "w string, lemma string")), "w", "left").groupBy(F.coalesce("lemma", "w").alias("lemma")).agg(F.count(F.lit(1)).alias("n"))
+q("d10_unique_sentences", f"{_LL} SELECT doc_id, sentence_id, array_to_string(categories, ',') AS all_categories, CAST(len(categories) AS INTEGER) AS n_categories FROM sc")(
+    lambda s, d: segment.unique_sentences(segment.category_pairs(_sentence_terms(s, d)), "doc_id", "sentence_id")
 )
-q("c14_lexicon_lemmas", None)(lambda s, d: terms.lemmatise_lexicon(lexicon.default(s), s.createDataFrame([(lexicon.plural(t), t) for _, t, _ in lexicon.rows()], "surface string, lemma string").dropDuplicates(["surface"])))
+q("e36_negation_by_category", f"{_LL}, p AS (SELECT doc_id, sentence_id, unnest(categories) AS category FROM sc), g AS (SELECT doc_id, sentence_id, bool_or({_NEG}) AS neg FROM r GROUP BY ALL) SELECT category, CAST(count(*) FILTER (neg) AS BIGINT) AS negated, count(*) AS n, round(100 * count(*) FILTER (neg) / count(*), 2) AS rate FROM p JOIN g USING (doc_id, sentence_id) GROUP BY category")(lambda s, d: _negation_by_category(s, d))
+q("e36_negation_words", f"WITH {ROWS}, w AS (SELECT unnest(regexp_extract_all({D2.format(c='sentence_text')}, '(?:^|[^\\p{{L}}\\p{{N}}_])({_NEGS})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS word FROM r) SELECT word, count(*) AS n FROM w GROUP BY word")(
+    lambda s, d: rows(s, d).select(F.explode(text.negations(F.col("sentence_text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+def _sentence_terms(s: SparkSession, d: str) -> DataFrame:
+    return segment.sentence_terms(segment.content(_tokens(s, d)), lexicon.default(s), "doc_id", "sentence_id")
+
+
+def _negation_by_category(s: SparkSession, d: str) -> DataFrame:
+    neg = rows(s, d).groupBy("doc_id", "sentence_id").agg(F.bool_or(text.negated(F.col("sentence_text"))).alias("neg"))
+    p = segment.category_pairs(_sentence_terms(s, d)).join(neg, ["doc_id", "sentence_id"])
+    return p.groupBy("category").agg(F.count(F.when(F.col("neg"), 1)).alias("negated"), F.count(F.lit(1)).alias("n")).withColumn("rate", F.round(100 * F.col("negated") / F.col("n"), 2))
+
 
 # --- contexts and levels
 _WIN = r"(?i)(?:(\S+)\s+){0,4}\b(risk|risken|risker|riskens)\b(?:\s+(\S+)){0,9}"
 q("c5_contexts", None)(lambda s, d: qualify.contexts(spread(ext(s, d), "extraction_id"), "extraction_id", "text", "risk"))
 q("c7_levels", None)(lambda s, d: qualify.qualify(qualify.contexts(spread(ext(s, d), "extraction_id"), "extraction_id", "text", "risk"), "risk").select("extraction_id", "k", "qualifier", "level"))
-q("e21_level_shares", None)(lambda s, d: _level_shares(s, d))
+q("e2_level_totals", None)(lambda s, d: qualify.level_totals(_levels(s, d)))
+q("e21_level_shares", None)(lambda s, d: qualify.severity_shares(_levels(s, d)))
+q("e22_other_rates", None)(lambda s, d: qualify.other_rates(_levels(s, d), ext(s, d)))
 
 
-def _level_shares(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    parts = [qualify.qualify(qualify.contexts(spread(ext(s, d), "extraction_id"), "extraction_id", "text", c), c).select("extraction_id", F.lit(c).alias("concept"), "level") for c in lexicon.TARGETS]
-    x = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(ext(s, d).select("extraction_id", "actor"), "extraction_id")
-    g = x.groupBy("actor", "concept", "level").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("actor", "concept")))
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    return qualify.levels_of(spread(ext(s, d).select("extraction_id", "actor", "text"), "extraction_id"), "extraction_id", "text", "actor")

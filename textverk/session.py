@@ -6,21 +6,24 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def build(app: str = "textverk", master: str = "local[8]", **conf: str) -> SparkSession:
-    """A session with the settings the engine expects; ``conf`` keys use ``__`` for dots."""
-    b = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
-    )
+LOCAL = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}  # for one machine; a cluster sets its own
+
+
+def build(app: str = "textverk", master: str | None = "local[8]", **conf: str) -> SparkSession:
+    """A session with the settings the engine expects; ``conf`` keys use ``__`` for dots.
+    Without ``master`` the cluster's own settings hold, sizes included."""
+    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
+    if master:
+        b = b.master(master)
+        for k, v in LOCAL.items():
+            b = b.config(k, v)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     s = b.getOrCreate()
@@ -51,7 +54,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in tests, a local folder is made.
+    Where none is set, a local folder is made if executors run in this machine's one process;
+    on a cluster that is an error, as tables would be scattered over the executors' disks.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
@@ -59,17 +63,63 @@ def shared_dir(spark: SparkSession) -> str:
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     at = tempfile.mkdtemp(prefix="textverk-")
     spark.sparkContext.setCheckpointDir(at)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_scopes: list[list[str]] = []
+_own: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver ends."""
+    at = f"{shared_dir(spark)}/textverk-{spark.sparkContext.applicationId}"
+    if at not in _own:
+        _own.add(at)
+        path, fs = _hadoop(spark, at)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return at
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The table survives the loss of executors, unlike a local checkpoint.
+    The table survives the loss of executors, unlike a local checkpoint. It lasts until the
+    ``scope`` it was made in ends, or else as long as the application.
     """
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(at)
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end; results must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for at in _scopes.pop():
+            path, fs = _hadoop(spark, at)
+            fs.delete(path, True)
+
+
+SMALL = 100_000  # rows up to which a side table is broadcast
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is; counting
+    stops beyond that number."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

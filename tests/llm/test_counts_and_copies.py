@@ -162,7 +162,7 @@ def test_near_duplicates_equal_brute_force(spark):
     rows = [(i, f"f{i:03d}", t, 7) for i, t in enumerate(texts)] + [(900, "f000", texts[0], 1), (901, None, texts[0], 1), (902, "tom", None, 1), (903, "kort", "tre ord bara", 1), (904, "blank", "  ", 1)]
     df = spark.createDataFrame(rows, "id int, file string, text string, fp int")
     docs = stored(p6.documents(df, "file", "text"), "t6")
-    found = p6.links(docs, 0.7)
+    found = p6.links(docs, df, "file", "text", 0.7)
     got = {(r.filename_a, r.filename_b) for r in p6.document_pairs(docs, found).collect()}
     sets = {f: set(_grams(t)) for _, f, t, _ in rows if f and t and len(regex.findall(r"[\p{L}\p{N}]+", t)) >= 40}
     names = sorted(sets)
@@ -173,7 +173,7 @@ def test_near_duplicates_equal_brute_force(spark):
     for a, b in want:
         assert groups[a][0] == groups[b][0]
     empty = stored(p6.documents(df.limit(0), "file", "text"), "t6")
-    assert p6.document_pairs(empty, p6.links(empty, 0.7)).count() == 0
+    assert p6.document_pairs(empty, p6.links(empty, df, "file", "text", 0.7)).count() == 0
 
 
 def test_signature_estimates_weighted_jaccard():
@@ -193,6 +193,60 @@ def test_weighted_links(spark):
     a, b = "ett två tre fyra " * 20, "ett två tre fyra " * 16
     df = spark.createDataFrame([("a", a), ("b", b)], "file string, text string")
     docs = stored(p6.documents(df, "file", "text", weighted=True), "t6w")
-    got = p6.links(docs, 0.5, weighted=True).collect()
+    got = p6.links(docs, df, "file", "text", 0.5, weighted=True).collect()
     ca, cb = collections.Counter(_grams(a)), collections.Counter(_grams(b))
     assert len(got) == 1 and abs(got[0].jaccard - sum((ca & cb).values()) / sum((ca | cb).values())) < 1e-9
+
+
+def test_a_crowded_bucket_is_joined_in_blocks(spark, monkeypatch):
+    """Many different texts of one template: the same links whether buckets are cut or not."""
+    base = [f"ord{i}" for i in range(120)]
+    rows = [(f"f{i:03d}", " ".join([*base[:i], f"nytt{i}", *base[i:]])) for i in range(60)]
+    df = spark.createDataFrame(rows, "file string, text string")
+    docs = stored(p6.documents(df, "file", "text"), "t6h")
+    whole = {(r.a, r.b) for r in p6.links(docs, df, "file", "text", 0.7).collect()}
+    monkeypatch.setattr(p6, "BLOCK", 8)
+    assert {(r.a, r.b) for r in p6.links(docs, df, "file", "text", 0.7).collect()} == whole and len(whole) == 60 * 59 // 2
+
+
+def test_state_of_term_counts(spark, tmp_path):
+    """Batches that are counted in one after the other give what a recount gives."""
+    schema = "rec string, unit long, text string"
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    all_ = lambda rows: {r[0] for r in rows if r[0]}
+    state = p5.State(spark, f"file://{tmp_path}/counts")
+    assert state.version == 0 and state.counts() is None
+    state.apply(p5.changes(None, df(ROWS)))
+    assert _got(state.counts()) == _terms(ROWS, all_(ROWS))
+    later = [r for r in ROWS if r[0] not in ("b", "d")] + [("a", 3, "ännu en rad"), ("d", 3, "ändrad"), ("e", None, "ny brand"), ("f", 10**12, "långt bort")]
+    feed = p5.changes(df(ROWS), df(later), state.records())
+    assert {(r.rec, r.sign) for r in feed.collect()} == {("b", -1), ("a", -1), ("a", 1), ("d", -1), ("d", 1), ("e", 1), ("f", 1)}  # c is not read again
+    state.apply(feed)
+    assert state.version == 2 and _got(state.counts()) == _terms(later, all_(later))
+    assert p5.changes(df(later), df(later[::-1]), state.records()).count() == 0
+    state.apply(p5.changes(df(later), df([]), state.records()))
+    assert _got(state.counts()) == {} and state.records().count() == 0
+
+
+def test_many_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(p5, "TERMS_PER_BUCKET", 9)
+    state = p5.State(spark, f"file://{tmp_path}/counts")
+    state.apply(p5.changes(None, spark.createDataFrame([("a", 1, " ".join(f"ord{chr(97 + i)}" for i in range(26)))], "rec string, unit long, text string")))
+    got = state.counts().collect()
+    assert len(got) == 26 and len({r.bucket for r in got}) == 3
+
+
+def test_cuts_follow_the_content():
+    """A line has the same chunks wherever it stands, and chunks make up every line."""
+    line = "Kopiera gärna texten och sprid den vidare till alla som bor i kommunen, men ange alltid källan när du gör det"
+    texts = [f"Något helt annat före\n{line}\nefter", f"{line.upper()}", f"kort\n\nen rad till här\n  {line} 17\n"]
+    lines, parts, n_lines, n_parts = p2.chunk_texts(texts, p2.Fold("L"), 8)
+    seen = []
+    for i in range(3):
+        a, b = n_parts[i], n_parts[i + 1]
+        of = {}
+        for k in range(a, b):
+            of.setdefault(int(parts[0][k]), []).append((int(parts[3][k]), int(parts[4][k])))
+        assert all(len(v) == lines[4][n_lines[i] + k] for k, v in of.items())
+        seen.append(max(of.values(), key=len))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 1 and sum(n for n, _ in seen[0]) == len(regex.sub(r"[^\p{L}]", "", line))

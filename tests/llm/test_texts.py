@@ -57,6 +57,24 @@ def test_tail_holds_every_share_below_half(spark):
         assert {r.rec_id for r in got} == set(range(junk)), junk
 
 
+def test_sketches_decide_near_one_half(spark):
+    """A text just above one half is named if its other statistics are in the tails of the corpus
+    and next to no text lies there; the same text is not in a corpus of its like."""
+    def rows(odd, fill):
+        out = [("d", i, "sv", 9, 100.0 + i % 40, 6 + i % 7 / 10, 0.01 * (i % 5), 0.5 + i % 40 / 100, 0.3 + i % 9 / 100, 0.8 + i % 20 / 100 if i % 10 or not fill else i % 50 / 100) for i in range(200)]
+        return out + [("d", 999, "sv", 9, 120.0, 6.3, 0.9 if odd else 0.02, 0.0 if odd else 0.7, 0.01 if odd else 0.34, 0.55)]
+
+    def named(x):
+        s = spark.createDataFrame(x, p1_quality.TABLE.replace("n_chars long", "n_chars int"))
+        got = {r.rec_id: r for r in p1_quality.scored(s, p1_quality.profile(s)).collect()}
+        return got[999].no_prose, {k for k, r in got.items() if r.no_prose and k != 999} == {r[1] for r in x if r[-1] < 0.5}
+
+    assert named(rows(True, True)) == (True, True) and named(rows(False, True)) == (False, True)
+    same = rows(True, True)
+    like = [(*r[:6], 0.9, 0.0, 0.01, r[-1]) for r in same]  # there the text is like all others
+    assert named(like) == (False, True)
+
+
 # --- 3
 
 PAGES = """Beredskapsplan – Storköping
@@ -235,6 +253,19 @@ def test_chunks_compose(spark, monkeypatch):
     assert p7_sentences.starts(df.limit(0)).count() == 0
 
 
+def test_a_missing_chunk_leaves_the_state_unknown(spark, monkeypatch):
+    """After rows that are wholly missing, and others that are blank, a number begins no sentence,
+    whatever the size of the chunks."""
+    rows = [("d", k, "Vi övar i maj.") for k in range(1, 5)] + [("d", k, " ") for k in range(9, 13)] + [("d", 13, "15 procent av alla gick hem.")]
+    rows += [("e", k, "Vi övar i maj, och") for k in (1, 2, 5, 6)] + [("e", 9, "Hem.")]
+    df = spark.createDataFrame(rows, "doc string, sid int, text string")
+    got = []
+    for size in (4, 2, 512):
+        monkeypatch.setattr(p7_sentences, "CHUNK", size)
+        got.append({tuple(r) for r in p7_sentences.starts(df).collect()})
+    assert got[0] == got[1] == got[2] and ("d", 13, 1) not in got[0] and ("d", 4, 1) in got[0]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB1 .!?”\"»“…。กก,", max_size=40), st.integers(0, p7_rules.STATES - 1))
 def test_any_text_has_ordered_starts(t, state):
@@ -251,6 +282,28 @@ def test_isotonic():
     assert np.allclose(got, [1, 7 / 3, 7 / 3, 7 / 3, 3.5, 3.5]) and (np.diff(got) >= 0).all()
 
 
+def test_weights_are_estimated():
+    """Words that the bigrams foretell better give them the weight, and none is ever zero."""
+    n = p10_levels.GRID
+    seen = np.zeros((n + 1, n + 1))
+    seen[n, 10] = 1000
+    w = p10_levels.estimate(seen)
+    assert w[0] > 0.95 and w.min() > 0 and abs(w.sum() - 1) < 1e-12
+    seen[:] = 0
+    seen[0, 40] = 1000
+    assert p10_levels.estimate(seen)[1] > 0.95
+    assert np.allclose(p10_levels.estimate(seen * 0), p10_levels.START)
+
+
+def test_form_finds_a_line():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 3))
+    y = 2 + x @ np.array([1.0, -0.5, 0.0])
+    f = p10_levels.Form(500.0, x.sum(axis=0), x.T @ x, float(y.sum()), x.T @ y)
+    assert np.abs(f(x) - y).max() < 0.05
+    assert p10_levels.Form(0.0, np.zeros(3), np.zeros((3, 3)), 0.0, np.zeros(3))(x).tolist() == [2.5] * 500
+
+
 def test_levels_held_out(spark):
     rng = random.Random(6)
     kinds = {

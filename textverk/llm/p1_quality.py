@@ -2,8 +2,11 @@
 
 One pass gives each text's statistics. Quantile sketches (KLL, mergeable) of every statistic
 are built per language and merged into one of all languages; values become percentiles and
-robust z-scores against them, and a text in a tail of the share of characters that stand in
-complete sentences is named. The sketches are a few rows whatever the size of the corpus.
+robust z-scores against them. A text is named (``no_prose``) if its share of characters in
+complete sentences lies in the lower tail and under its cut. The cut is one half, and for a
+text that lies in the tails of two or more of the other statistics the upper end of the gap
+that the sketch of all shares shows around one half: there, where next to no text lies, the
+share alone does not tell. The sketches are a few rows whatever the size of the corpus.
 
 Cases: null and blank texts have no row; a language that can't be told is 'und' and is only
 held against all languages; equal values share a percentile; an empty table gives no rows.
@@ -11,6 +14,7 @@ held against all languages; equal values share a percentile; an empty table give
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +33,8 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man wer wir",
 }
 _LANG = {w: k for k in ("de", "fi", "en", "sv") for w in COMMON[k].split()}
-_SCRIPTS = (("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"), ("zh", "一", "鿿"))
+_SCRIPTS = tuple((k, re.compile(f"[{a}-{z}]+")) for k, a, z in (("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"), ("zh", "一", "鿿")))
+_FAR = re.compile("[\u0590-\U0010ffff]")
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "sentence_share")
 TABLE = "src string, rec_id long, language string, n_chars long, " + ", ".join(f"{s} double" for s in STATS)
 
@@ -41,11 +46,11 @@ def statistics(text: str) -> tuple:
     solid = max(1, len(text) - sum(map(text.count, " \t\n\r ")))
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
     ended = sum(1 for x in lines if x[-1] in ".!?…。！？।؟”»\"" and _TAIL.search(x))
-    votes = Counter(map(_LANG.get, map(str.lower, words)))
+    votes = Counter(map(_LANG.get, _WORD.findall(text.lower())))
     common = n - votes.pop(None, 0)
     lang = max(votes, key=votes.get) if votes and common >= 0.05 * n else "und"
     if not text.isascii():
-        others = {k: sum(1 for c in text if a <= c <= z) for k, a, z in _SCRIPTS} if max(text) > "֐" else {}
+        others = {k: sum(map(len, p.findall(text))) for k, p in _SCRIPTS} if _FAR.search(text) else {}
         best = max(others, key=others.get) if others else ""
         if best and others[best] >= 0.3 * solid:
             lang = best
@@ -69,7 +74,9 @@ def document_statistics(df: DataFrame) -> DataFrame:
     return spread(df.filter(F.col("text").isNotNull()).select("src", "rec_id", "text"), "rec_id").mapInArrow(run, TABLE)
 
 
-STEPS = 20  # percentiles are told to the nearest 100 / STEPS
+STEPS = 100  # percentiles are told to the nearest 100 / STEPS
+TAIL = 2  # per cent on either side that are a tail
+WIDEST = 0.75  # the gap around one half reaches no further up
 HALF = 0.5  # a text with less of it in complete sentences is no prose
 
 
@@ -99,12 +106,35 @@ def _z(value: Column, sketch: Column) -> Column:
     return (value - mid) / scale
 
 
+def _tails(own: dict[str, Column]) -> Column:
+    """How many of the other statistics lie in the tail on the side of lists, tables and junk."""
+    def at(s: str, p: int) -> Column:
+        return F.get(own[s], F.lit(round(p / 100 * STEPS)))
+
+    def low(s: str) -> Column:
+        return (F.col(s) <= at(s, TAIL)) & (F.col(s) < at(s, 50))
+
+    def high(s: str) -> Column:
+        return (F.col(s) >= at(s, 100 - TAIL)) & (F.col(s) > at(s, 50))
+
+    hits = [high("symbol_ratio"), low("ended_line_share"), low("common_word_share"), low("n_words"), low("mean_word_length") | high("mean_word_length")]
+    return sum((F.coalesce(h, F.lit(False)).cast("int") for h in hits), F.lit(0))
+
+
 def scored(stats: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Adds percentiles within the language, z-scores and the flag ``tail``."""
+    """Adds percentiles within the language, z-scores, the number of other tails, the flag
+    ``tail``, the text's ``cut`` and ``no_prose``."""
     sketches = F.broadcast(quantiles)  # a row for each of at most ten languages
     own = sketches.select("language", *(F.col(s).alias(f"own_{s}") for s in STATS))
     every = sketches.filter("language = '*'").select(*(F.col(s).alias(f"all_{s}") for s in STATS))
     x = stats.join(own, "language", "left").crossJoin(F.broadcast(every))
     pct = [_percentile(F.col(s), F.col(f"own_{s}")).alias(f"{s}_pct") for s in STATS]
-    x = x.select(*stats.columns, *pct, _z(F.col("sentence_share"), F.col("own_sentence_share")).alias("z_language"), _z(F.col("sentence_share"), F.col("all_sentence_share")).alias("z_all"))
-    return x.withColumn("tail", (F.least("z_language", "z_all") <= -3.0))
+    # the second quantile above one half: up to there lie less than two per cent of all texts
+    upper = F.get(F.filter("all_sentence_share", lambda q: q >= HALF), F.lit(1))
+    x = x.select(
+        *stats.columns, *pct, _z(F.col("sentence_share"), F.col("own_sentence_share")).alias("z_language"), _z(F.col("sentence_share"), F.col("all_sentence_share")).alias("z_all"),
+        _tails({s: F.col(f"own_{s}") for s in STATS}).alias("n_tails"), F.least(F.coalesce(upper, F.lit(HALF)), F.lit(WIDEST)).alias("gap_end"),
+    )
+    x = x.withColumn("tail", F.least("z_language", "z_all") <= -3.0)
+    x = x.withColumn("cut", F.when(F.col("n_tails") >= 2, F.col("gap_end")).otherwise(F.lit(HALF))).drop("gap_end")
+    return x.withColumn("no_prose", F.col("tail") & (F.col("sentence_share") < F.col("cut")))

@@ -1,12 +1,16 @@
 """Occurrences and record counts of every term, kept up to date by signed deltas.
 
-A batch of added, changed or deleted records becomes changes per term: a deleted record
-counts -1, an added one +1, a changed one both. The changes are merged into persistent
-counts partitioned by a hash of the term; records that did not change are not read again.
+A batch of added, changed or deleted records is a feed of signed rows: the old rows of a
+record that is deleted or changed have the sign -1, the new ones of a record that is added
+or changed +1. The feed becomes changes per term, which are merged into persistent counts,
+partitioned by a hash of the term. ``State`` keeps the counts, and a hash of each record, in a
+folder, a version a batch. ``changes`` makes the feed from two snapshots: records whose hash
+is the one that is kept are neither joined nor counted.
 
 Cases: a null text has no terms; a null record id belongs to no record and is left out; of
-rows with the same (record, unit) the smallest text counts once; a term whose occurrences
-fall to zero disappears; empty input leaves the counts as they are.
+rows with the same (record, unit) the smallest text counts once, rows with a null unit being
+one unit; a term whose occurrences fall to zero disappears; an empty feed leaves the counts
+as they are.
 """
 
 from __future__ import annotations
@@ -16,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textverk.llm.kernel import Fold, codes_of, slices, span_hashes, words_of
-from textverk.session import stored
+from textverk.session import small, stored
 
-BUCKETS = 16  # partitions of the persistent counts
+TERMS_PER_BUCKET = 1_000_000  # of the persistent counts; the number of buckets follows from it
 UNITS_PER_CHUNK = 256  # units of a record counted in one place; more are split and joined again
 
 
@@ -68,12 +73,16 @@ def term_deltas(records: DataFrame, scope: DataFrame | None = None) -> DataFrame
     once more to count the record once. All others leave their task already added up.
     """
     rows = records.filter(F.col("rec").isNotNull())
-    chunk = F.coalesce(F.floor(F.col("unit") / UNITS_PER_CHUNK), F.lit(0)).cast("long")
-    docs = rows.groupBy("rec", "sign").agg(F.min(chunk).alias("lo"), F.max(chunk).alias("hi"))
     if scope is not None:
-        docs = docs.join(scope.select("rec").distinct(), "rec", "left_semi")
-    marks = docs.select("rec", "sign", F.explode(F.sequence("lo", "hi")).alias("chunk"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("unit"), F.when(F.col("hi") > F.col("lo"), "m").alias("text"))
-    body = rows.filter(F.col("text").isNotNull()).select("rec", "sign", chunk.alias("chunk"), F.lit(1).alias("kind"), "unit", "text")
+        rows = rows.join(scope.select("rec").distinct(), "rec", "left_semi")
+    chunk = F.coalesce(F.floor(F.col("unit") / UNITS_PER_CHUNK), F.lit(0)).cast("long")
+    no_unit = rows.filter("unit IS NULL").groupBy("rec", "sign").agg(F.min("text").alias("text")).select("rec", "sign", F.lit(None).cast("long").alias("unit"), "text")
+    rows = rows.filter("unit IS NOT NULL").select("rec", "sign", "unit", "text").unionByName(no_unit).withColumn("chunk", chunk)
+    # one marker a chunk that has rows; it tells whether the record lies in several
+    marks = rows.groupBy("rec", "sign", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    many = F.count(F.lit(1)).over(W.partitionBy("rec", "sign")) > 1  # chunks of a record, a row per 256 units
+    marks = marks.select("rec", "sign", "chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("unit"), F.when(many, "m").alias("text"))
+    body = rows.filter(F.col("text").isNotNull()).select("rec", "sign", "chunk", F.lit(1).alias("kind"), "unit", "text")
     both = marks.unionByName(body).repartition("rec", "sign", "chunk").sortWithinPartitions("rec", "sign", "chunk", "kind", "unit", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,36 +149,89 @@ def _batch(rec: list, term: np.ndarray, occ: np.ndarray, n: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(rec, pa.string()), pa.array(term, pa.string()), pa.array(occ, pa.int64()), pa.array(n, pa.int64())], names=["rec", "term", "d_occ", "d_recs"])
 
 
-def changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
+def hashes(rows: DataFrame) -> DataFrame:
+    """rec and a hash of its distinct rows (unit, text), whatever their order. What is shuffled
+    is a number a row, not text."""
+    one = rows.filter("rec IS NOT NULL").select("rec", "unit", F.xxhash64("text").alias("h"), F.col("text").isNull().alias("none"))
+    return one.distinct().groupBy("rec").agg(F.sum(F.xxhash64("unit", "h", "none").cast("decimal(38,0)")).alias("hash"))
+
+
+def changes(before: DataFrame | None, after: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Signed rows of the records that differ between two snapshots (rec, unit, text).
 
-    Records are compared by the sum of their rows' hashes; unchanged ones are left out.
+    ``known`` (rec, hash) are the kept hashes of ``before``; without it they are computed. Only
+    hashes are joined; then both snapshots are reduced to the records that differ by semi-joins
+    on their ids, so unchanged records' texts are neither shuffled for the counts nor cut into
+    terms.
     """
     new = after.select("rec", "unit", "text", F.lit(1).alias("sign"))
     if before is None:
         return new
     old = before.select("rec", "unit", "text", F.lit(-1).alias("sign"))
-    both = old.unionByName(new)
-    # duplicates of a row count once, as they do in the counts
-    differs = (
-        both.groupBy("rec", "sign", "unit").agg(F.min("text").alias("text"))
-        .groupBy("rec").agg(F.sum(F.col("sign") * F.xxhash64("unit", "text").cast("decimal(38,0)")).alias("d"), F.sum("sign").alias("n"))
-        .filter((F.col("d") != 0) | (F.col("n") != 0)).select("rec")
-    )
-    return both.join(differs, "rec", "left_semi")
+    was = (hashes(before) if known is None else known.select("rec", "hash")).withColumnRenamed("hash", "was")
+    both = was.join(hashes(after), "rec", "full_outer")
+    differs = small(stored(both.filter(~F.col("was").eqNullSafe(F.col("hash"))).select("rec"), "p5-differs"))
+    return old.join(differs, "rec", "left_semi").unionByName(new.join(differs, "rec", "left_semi"))
 
 
 def merge(counts: DataFrame | None, deltas: DataFrame) -> DataFrame:
-    """term, occurrences, records after the changes, written as a table partitioned by bucket."""
+    """term, occurrences, records after the changes; terms that are gone are left out."""
     add = deltas.select("term", F.col("d_occ").alias("occurrences"), F.col("d_recs").alias("records"))
     if counts is not None:
         add = counts.select("term", "occurrences", "records").unionByName(add).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    out = add.filter(F.col("occurrences") != 0).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    return stored(out.repartition("bucket"), "p5-counts", "bucket")
+    return add.filter(F.col("occurrences") != 0)
+
+
+class State:
+    """Counts and record hashes in the folder ``path``: a version a batch, each written whole
+    before ``current`` names it, so a batch that fails leaves the last version as it was."""
+
+    TABLES = {"counts": "term string, occurrences long, records long, bucket int", "records": "rec string, hash decimal(38,0)"}
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    @property
+    def version(self) -> int:
+        """The last version that was written whole; 0 if there is none."""
+        at, fs = self._fs("done")
+        return max((int(f.getPath().getName()) for f in fs.listStatus(at)), default=0) if fs.exists(at) else 0
+
+    def _read(self, name: str) -> DataFrame | None:
+        v = self.version
+        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{name}/version={v}") if v else None
+
+    def counts(self) -> DataFrame | None:
+        """term, occurrences, records, bucket."""
+        return self._read("counts")
+
+    def records(self) -> DataFrame | None:
+        """rec, hash of the records that are counted."""
+        return self._read("records")
+
+    def apply(self, feed: DataFrame) -> int:
+        """Counts a feed (rec, unit, text, sign) in; gives the new version."""
+        v = self.version + 1
+        total = stored(merge(self.counts(), term_deltas(feed)), "p5-merged")
+        buckets = max(1, -(-total.count() // TERMS_PER_BUCKET))
+        total = total.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        total.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/version={v}")
+        gone = feed.filter("sign < 0").select("rec").distinct()
+        new = hashes(feed.filter("sign > 0"))
+        old = self.records()
+        kept = new if old is None else old.join(gone, "rec", "left_anti").unionByName(new)
+        kept.write.mode("overwrite").parquet(f"{self.path}/records/version={v}")
+        at, fs = self._fs(f"done/{v}")
+        fs.create(at).close()
+        return v
 
 
 def mark(counts: DataFrame, n_records: DataFrame, min_occ: int = 4, min_recs: int = 2, max_share: float = 0.3) -> DataFrame:
     """Adds ``mark``: rare, common or null. ``n_records`` is one row with column n."""
     rare = (F.col("occurrences") < min_occ) | (F.col("records") < min_recs)
     common = F.col("records") > F.col("n") * F.lit(max_share)
-    return counts.crossJoin(F.broadcast(n_records)).withColumn("mark", F.when(rare, "rare").when(common, "common")).drop("n", "bucket")
+    return counts.crossJoin(F.broadcast(n_records)).withColumn("mark", F.when(rare, "rare").when(common, "common")).select("term", "occurrences", "records", "mark")

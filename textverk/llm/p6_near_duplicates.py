@@ -8,9 +8,11 @@ Two signatures then agree in a component with the probability of the weighted Ja
 similarity. Points come in order of time and a process ends once it is later than the
 largest minimum, so few points are drawn. With ``weighted=False`` each shingle has weight 1.
 
-Bands of components make candidates; every candidate is verified on the shingles.
-Exact copies (same word sequence) are one class from the start, so a group of copies of
-any size is one member in the bands.
+Bands of components make candidates; the shingles of the candidates alone are then taken
+from their texts again and every candidate is verified on them (64-bit hashes, with their
+counts if weighted). Exact copies (same word sequence) are one class from the start, so a
+group of copies of any size is one member in the bands; a band that many different texts
+share is held against itself in blocks.
 
 Cases: documents under ``min_words`` words or without text are no members; a document
 delivered twice is one; ties do not arise, as classes are named by their fingerprint.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textverk.llm.kernel import Fold, codes_of, mix, slices, span_hashes, words_of
-from textverk.session import stored
+from textverk.session import small, stored
 from textverk.sources.tables import spread
 
 U = np.uint64
@@ -94,11 +96,14 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return (x >> U(32)).astype(np.uint32).view(np.int32)
 
 
-DOCS = "doc string, fp long, n_words int, n_items int, bands array<int>, items binary, counts binary"
+DOCS = "doc string, fp long, n_words int, mass long, bands array<int>"
+SETS = "fp long, items binary, counts binary"
+BLOCK = 1024  # members of a band's bucket beyond which it is joined in blocks
 
 
 def documents(df: DataFrame, doc: str, text: str, k: int = 3, rows: int = 5, bands: int = 60, min_words: int = 40, weighted: bool = False) -> DataFrame:
-    """Fingerprint, bands and shingles (32-bit, sorted) of each document with enough words."""
+    """Fingerprint, mass (shingles, each counted as often as its weight) and bands of each
+    document with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = Fold("LN")
@@ -115,59 +120,70 @@ def documents(df: DataFrame, doc: str, text: str, k: int = 3, rows: int = 5, ban
                 rec, item, count = new[rec[keep]], item[keep], count[keep]
                 w = count if weighted else np.ones(len(count), dtype=np.int64)
                 keys = band_keys(bagminhash(rec, item, w, len(ok), rows * bands), rows)
-                short = (item >> U(32)).astype(np.uint32)  # the order of the hashes is kept
-                ends = np.cumsum(np.bincount(rec, minlength=len(ok)))
-                starts = np.append(0, ends[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        docs.slice(i, j - i).take(pa.array(ok)), pa.array(fp[ok].view(np.int64)), pa.array(n_words[ok].astype(np.int32)), pa.array((ends - starts).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
-                        pa.array([short[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                        pa.array([np.minimum(w[x:y], 65535).astype(np.uint16).tobytes() if weighted else b"" for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["doc", "fp", "n_words", "n_items", "bands", "items", "counts"],
-                )
+                mass = np.bincount(rec, w, len(ok)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([docs.slice(i, j - i).take(pa.array(ok)), pa.array(fp[ok].view(np.int64)), pa.array(n_words[ok].astype(np.int32)), pa.array(mass), lists], names=["doc", "fp", "n_words", "mass", "bands"])
 
     src = df.filter(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).cast("string"), F.col(text))
     return spread(src, doc).mapInArrow(run, DOCS)
 
 
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """fp, the sorted hashes of its shingles and their counts, from (fp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold("LN")
+        for b in batches:
+            fps, ts = b.column(0), b.column(1).to_pylist()
+            for i, j in slices(ts):
+                rec, item, count, _, _ = shingles(ts[i:j], fold, k)
+                at = np.searchsorted(rec, np.arange(j - i + 1)).tolist()
+                cut = list(zip(at, at[1:], strict=False))
+                yield pa.RecordBatch.from_arrays([fps.slice(i, j - i), pa.array([item[x:y].tobytes() for x, y in cut], pa.binary()), pa.array([count[x:y].astype(np.uint32).tobytes() for x, y in cut], pa.binary())], names=["fp", "items", "counts"])
+
+    return texts.mapInArrow(run, SETS)
+
+
 def _overlap(weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [b.column(k).to_pylist() for k in ("ia", "ib", "ca", "cb")]
             js = []
             for ia, ib, ca, cb in zip(*cols, strict=True):
-                x, y = np.frombuffer(ia, np.uint32), np.frombuffer(ib, np.uint32)
-                if not weighted:
-                    both = len(np.intersect1d(x, y))
-                    js.append(both / (len(x) + len(y) - both))
+                _, p, q = np.intersect1d(np.frombuffer(ia, U), np.frombuffer(ib, U), assume_unique=True, return_indices=True)
+                if weighted:
+                    u, v = np.frombuffer(ca, np.uint32).astype(np.int64), np.frombuffer(cb, np.uint32).astype(np.int64)
+                    both, all_ = int(np.minimum(u[p], v[q]).sum()), int(u.sum()) + int(v.sum())
                 else:
-                    _, p, q = np.intersect1d(x, y, return_indices=True)
-                    u, v = np.frombuffer(ca, np.uint16).astype(np.int64), np.frombuffer(cb, np.uint16).astype(np.int64)
-                    both = int(np.minimum(u[p], v[q]).sum())
-                    js.append(both / (int(u.sum()) + int(v.sum()) - both))
+                    both, all_ = len(p), len(ia) // 8 + len(ib) // 8
+                js.append(both / (all_ - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(js, pa.float64())], names=["a", "b", "jaccard"])
 
     return run
 
 
-def links(docs: DataFrame, threshold: float, weighted: bool = False) -> DataFrame:
-    """Verified pairs a < b of class fingerprints with their similarity; ``docs`` is stored.
+def links(docs: DataFrame, texts: DataFrame, doc: str, text: str, threshold: float, k: int = 3, weighted: bool = False) -> DataFrame:
+    """Verified pairs a < b of class fingerprints with their similarity; ``docs`` is the stored
+    table of ``documents``, ``texts`` what it was made from.
 
-    Only the class members' keys go through the bands; of two sets of sizes p <= q the
-    similarity is at most p / q, which drops most accidental pairs before any shingle moves.
-    Weighted sets are compared by size only through the same bound on distinct shingles' mass,
-    so there the bound is not used.
+    Of two sets of masses p <= q the similarity is at most p / q, which drops most accidental
+    pairs before any shingle is looked at. A bucket of more than BLOCK classes is cut into
+    blocks: each member stands in one block on the left and is sent to every block on the
+    right, so no task holds all pairs of a bucket.
     """
-    reps = docs.groupBy("fp").agg(F.first("n_items").alias("n_items"), F.first("bands").alias("bands"))
-    flat = reps.select("fp", "n_items", F.posexplode("bands").alias("band", "key"))
-    a = flat.select(F.col("fp").alias("a"), F.col("n_items").alias("na"), "band", "key")
-    b = flat.select(F.col("fp").alias("b"), F.col("n_items").alias("nb"), "band", "key")
-    near = F.lit(True) if weighted else F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
-    pairs = stored(a.join(b, ["band", "key"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "p6-pairs")
+    reps = docs.groupBy("fp").agg(F.first("mass").alias("mass"), F.first("bands").alias("bands"))
+    flat = reps.select("fp", "mass", F.posexplode("bands").alias("band", "key"))
+    hot = stored(flat.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "p6-hot")
+    flat = flat.join(small(hot), ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = flat.select(F.col("fp").alias("a"), F.col("mass").alias("na"), "band", "key", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
+    b = flat.select(F.col("fp").alias("b"), F.col("mass").alias("nb"), "band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
+    pairs = stored(a.join(b, ["band", "key", "block"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "p6-pairs")
     used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = docs.select("fp", "items", "counts").join(used, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"), F.first("counts").alias("counts"))
+    one = stored(docs.join(used, "fp", "left_semi").groupBy("fp").agg(F.min("doc").alias("d")), "p6-used")
+    src = texts.filter(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).join(small(one, 500_000), "d")
+    # a document that is delivered twice has one text
+    sets = stored(_sets(spread(src.select("fp", "t"), "fp"), k).dropDuplicates(["fp"]), "p6-sets")
     left = sets.select(F.col("fp").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca"))
     right = sets.select(F.col("fp").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb"))
     got = pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib", "ca", "cb").mapInArrow(_overlap(weighted), "a long, b long, jaccard double")

@@ -30,7 +30,7 @@ MONTHS = frozenset(
 _EVENT = re.compile(r"[.!?…]+|[。！？।؟]|[”»\"“„«']|(?<=[฀-๿A-Za-zÀ-ɏ]) +(?=[฀-๿A-Za-zÀ-ɏ])")
 _THAI = re.compile(r"[฀-๿]")
 _WORD_BEFORE = re.compile(r"[^\s(\[”»\"“„«]+$")
-_NUMBER_START = re.compile(r"\d+(?:[.,:]\d+)*\s*(?:[,;)%”]|procent|percent|prosenttia|tkr|hushåll|Haushalte|mm\b|m\b|in\b|i\b)")
+_NUMBER_START = re.compile(r"\d+(?:[.,:]\d+)*\s*(?:[,;)%”]|[^\W\d_])")
 
 
 def _upper(c: str) -> bool:

@@ -30,7 +30,8 @@ OUT = "doc string, chunk long, sid int, state int, starts array<int>, fn array<i
 
 def _chunks(rows: DataFrame) -> DataFrame:
     """(doc, sid, text) to starts by row and one function a chunk."""
-    chunk = F.coalesce(F.floor((F.col("sid") - 1) / CHUNK), F.lit(-1)).cast("long")
+    # rows without a number stand alone, so they may lie anywhere
+    chunk = F.coalesce(F.floor((F.col("sid") - 1) / CHUNK), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(1 << 20))).cast("long")
     src = rows.filter(F.col("text").isNotNull()).select("doc", chunk.alias("chunk"), "sid", "text")
     src = src.repartition("doc", "chunk").sortWithinPartitions("doc", "chunk", "sid", "text")
 
@@ -89,15 +90,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _before(fns: DataFrame) -> DataFrame:
     """doc, chunk and the state before each chunk > 0: a prefix scan by doubling.
 
-    After round k each chunk holds the composition of the 2**k functions up to it.
+    After round k each chunk holds the composition of the 2**k functions up to it. Before the
+    first chunk of a document the state is ENDED, and after a chunk that is wholly missing it is
+    LOST: such a chunk's function is the constant that it gives there.
     """
-    cur = stored(fns.select("doc", "chunk", "fn"), "p7-scan")
+    have = fns.select("doc", (F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("follows"))
+    fixed = F.get("fn", F.when(F.col("chunk") == 0, F.lit(ENDED)).otherwise(F.lit(LOST)))
+    cur = fns.join(have, ["doc", "chunk"], "left").select("doc", "chunk", F.when(F.col("follows"), F.col("fn")).otherwise(F.transform("fn", lambda _: fixed)).alias("fn"))
+    cur = stored(cur, "p7-scan")
     top = cur.agg(F.max("chunk")).first()[0] or 0
     gap = 1
     while gap <= top:
         prev = cur.select("doc", (F.col("chunk") + gap).alias("chunk"), F.col("fn").alias("f0"))
         both = cur.join(prev, ["doc", "chunk"], "left")
-        # a missing chunk leaves LOST, which its successor's function already starts from
         cur = stored(both.select("doc", "chunk", F.when(F.col("f0").isNull(), F.col("fn")).otherwise(F.transform("f0", lambda s: F.get("fn", s))).alias("fn")), "p7-scan")
         gap *= 2
     return cur.select("doc", (F.col("chunk") + 1).alias("chunk"), F.get("fn", F.lit(ENDED)).alias("before"))

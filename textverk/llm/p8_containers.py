@@ -4,9 +4,9 @@ Texts longer than the capacity are divided into full containers and a rest; whol
 rests are items. Items are spread at random over blocks of a fixed total size, and each
 block is divided into k windows: partial partitions are merged two at a time, the largest
 imbalances first, the sums of one in rising and of the other in falling order, until one
-near-equal partition is left. k is the least number that could do; windows over capacity
-hand items on to the fullest windows with room, and the number of windows rises for items
-that find none. Windows that stay poorly filled are emptied and their items packed again in
+near-equal partition is left. k is the least number that could do, and rises while a window
+is over capacity; a partition whose windows over capacity hand items on to others is taken
+where it needs fewer windows. Windows that stay poorly filled are emptied and their items packed again in
 a second round, so blocks waste next to nothing at their edges.
 
 Cases: null texts are no items; empty texts have size 0 and take no space; equal texts,
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from textverk.session import stored
 
 WINDOWS = 96  # windows of a block, about
+ITEMS = 50_000  # items of a block, about, at most
 GOOD = 0.97  # share of the capacity from which a window is kept in the first round
 
 
@@ -67,18 +68,38 @@ def _flat(x) -> list[int]:
     return out
 
 
+MORE = 0.03  # share of windows by which the number rises before a mended partition is taken
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Groups of item numbers, none over the capacity; every size is at most the capacity.
 
-    The partition by differencing is the plan. A window over capacity gives up the item that
-    brings it nearest under it; items given up go where they fit best, and the number of
-    windows rises for those that fit nowhere. Then the emptiest windows are given up and
-    their items fill gaps of the others, alone or for a smaller item, and are packed last.
+    Differencing divides the items into k windows, the least number that could do; while one is
+    over capacity it is run again with one window more. Where items are large beside the
+    capacity near-equal windows waste space, so the first partition is mended too, and taken
+    if it needs fewer windows.
     """
     if not sizes:
         return []
-    k = max(1, -(-sum(sizes) // capacity))
-    groups = difference(sizes, k)
+    least = max(1, -(-sum(sizes) // capacity))
+    first = None
+    for k in range(least, least + max(2, round(least * MORE)) + 1):
+        groups = [g for g in difference(sizes, k) if g]
+        first = first or [list(g) for g in groups]
+        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
+            if len(groups) == least:
+                return groups
+            mended = _mended(sizes, capacity, first)
+            return mended if len(mended) < len(groups) else groups
+    return _mended(sizes, capacity, first)
+
+
+def _mended(sizes: list[int], capacity: int, groups: list[list[int]]) -> list[list[int]]:
+    """The partition with its windows over capacity put right: each gives up the item that brings
+    it nearest under it; items given up go where they fit best. Then the emptiest windows are
+    given up and their items fill gaps of the others, alone or for a smaller item, and are
+    packed last."""
+    k = len(groups)
     sums = [sum(sizes[i] for i in g) for g in groups]
     loose: list[int] = []
     for g in range(k):
@@ -142,9 +163,9 @@ PACKED = "spec_id int, capacity int, container string, rid long, piece int, doc_
 
 def _round(items: DataFrame, number: int) -> DataFrame:
     """Packs (spec_id, capacity, rid, doc_id, piece, token_from, size) in blocks."""
-    totals = items.groupBy("spec_id").agg(F.sum("size").alias("total"))
+    totals = items.groupBy("spec_id").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
     x = items.join(F.broadcast(totals), "spec_id")  # a row a spec
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * WINDOWS)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * WINDOWS)), F.ceil(F.col("n") / ITEMS))  # items without size count too
     x = x.withColumn("block", F.pmod(F.xxhash64("rid", "piece", F.lit(number)), blocks)).select("spec_id", "block", "capacity", "rid", "doc_id", "piece", "token_from", "size")
     x = x.repartition("spec_id", "block").sortWithinPartitions("spec_id", "block", "rid", "piece")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ from textverk.llm import p7_sentences as p7
 from textverk.llm import p8_containers as p8
 from textverk.llm import p9_mixture as p9
 from textverk.llm import tokens
-from textverk.session import stored
+from textverk.session import own_dir, stored
 from textverk.sources.tables import table
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,7 +40,7 @@ def _p1_scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p1_scored(spark, d).filter("tail AND sentence_share < 0.5").select("src", "rec_id")
+    return _p1_scored(spark, d).filter("no_prose").select("src", "rec_id")
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -103,10 +104,21 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Counts that came about in two batches, and the number of records.
+
+    The first holds, as a delivery would, a part of the records, some of them in an earlier
+    version (their first half) and some that do not belong to the files. The second brings the
+    whole table: records are added, changed and deleted, and only these are counted again.
+    """
     rows = table(spark, d, "bert_corpus").select(F.col("doc_id").alias("rec"), F.col("sentence_id").cast("long").alias("unit"), F.col("sentence_text").alias("text"))
-    files = table(spark, d, "term_document_matrix").select(F.col("file").alias("rec")).filter("rec IS NOT NULL")
-    n = rows.select("rec").distinct().join(files, "rec", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    return p5.merge(None, p5.term_deltas(p5.changes(None, rows), files)), n
+    files = table(spark, d, "term_document_matrix").select(F.col("file").alias("rec")).filter("rec IS NOT NULL").distinct()
+    part = F.pmod(F.xxhash64("rec"), F.lit(8))  # of a record: 0 early version, 1 to 6 as it is, 7 later
+    first = rows.filter((part < 7) & ((part > 0) | F.coalesce(F.col("unit") % 2 == 0, F.lit(False))))
+    state = p5.State(spark, f"{own_dir(spark)}/p5-state-{uuid.uuid4().hex}")
+    state.apply(p5.changes(None, first))
+    inside = rows.join(files, "rec", "left_semi")
+    state.apply(p5.changes(first, inside, state.records()))
+    return state.counts(), state.records().agg(F.count(F.lit(1)).alias("n"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,17 +132,20 @@ def p5_term_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- 6: near-duplicate files
 
 
-def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = stored(p6.documents(_extracted(spark, d), "filename", "text"), "p6-docs")
-    return docs, p6.links(docs, 0.7)
+def _p6(spark: SparkSession, d: str, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    texts = _extracted(spark, d)
+    docs = stored(p6.documents(texts, "filename", "text", weighted=weighted), "p6-docs")
+    return docs, p6.links(docs, texts, "filename", "text", 0.7, weighted=weighted)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct runs are asked for, so every weight is 1."""
     return p6.document_pairs(*_p6(spark, d))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    return p6.groups(*_p6(spark, d))
+    """Groups by the overlap of the multisets of runs, each weighted by its number."""
+    return p6.groups(*_p6(spark, d, weighted=True))
 
 
 # --- 7: sentences

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textverk.llm import p1_prose, p1_quality, p3_pages, p3_scans, p4_encoding, p7_rules, p7_sentences, p10_levels
+from textverk.llm import p1_prose, p1_quality, p3_pages, p3_scans, p3_simulate, p4_encoding, p7_rules, p7_sentences, p10_levels
 from textverk.llm.boost import Boosted
 
 # --- 1
@@ -105,6 +105,48 @@ def test_furniture_and_broken_words():
         assert not q.header and not q.hyphen
 
 
+def test_classifiers_on_simulated_scans_they_have_not_seen():
+    rng = random.Random(77)
+    n = {k: [0, 0, 0] for k in ("pageno", "header", "hyphen")}
+    for _ in range(150):
+        lines, kind, goes, scan = p3_simulate.text(rng)
+        got = p3_pages.analyse("\n".join(lines), scan)
+        for k, found in (("pageno", set(got.pageno)), ("header", set(got.header)), ("hyphen", {i for i, _ in got.hyphen})):
+            true = {i + 1 for i in goes} if k == "hyphen" else {i + 1 for i, x in enumerate(kind) if x == k}
+            n[k] = [a + b for a, b in zip(n[k], (len(true), len(found), len(true & found)), strict=True)]
+    assert all(both > 0.85 * true and both > 0.85 * found for true, found, both in n.values()), n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abcå 1", min_size=6, max_size=14), min_size=1, max_size=8))
+def test_forms_are_found_as_by_comparing_all(keys):
+    forms, kept = p3_pages._Forms(), []
+    for k in keys:
+        want = next((i for i, m in enumerate(kept) if p3_pages._near(m, k)), None)
+        got = forms.find(k)
+        assert (got is None) == (want is None) and (want is None or got is forms.groups[want][1])
+        if got is None:
+            forms.add(k, [k])
+            kept.append(k)
+
+
+def test_a_heading_is_compared_with_few_others(monkeypatch):
+    """Of a thousand different ones with hardly any; where all begin alike, with a small part of them."""
+    calls, near = [], p3_pages._near
+    monkeypatch.setattr(p3_pages, "_near", lambda *a: calls.append(1) or near(*a))
+    rng = random.Random(1)
+    heads = [" ".join("".join(rng.choices("abdefgiklmnoprstu", k=rng.randint(3, 9))) for _ in range(4)) for _ in range(1000)]
+    p3_pages.analyse("\n".join(x for _ in range(2) for h in heads for x in (h, "Något står här.")), True)
+    assert len(calls) < 1000
+    calls.clear()
+    p3_pages.analyse("\n".join(f"En rubrik nummer {i} om {chr(97 + i % 25)}{i * 7919 % 1000}\nNågot står här." for _ in range(2) for i in range(1000)), True)
+    assert len(calls) < 0.2 * 1000 * 999 / 2
+
+
+def test_roman_numbers():
+    assert [p3_pages._roman(x) for x in ("i", "iv", "XIX", "xl", "xcix", "iix", "vv", "")] == [1, 4, 19, 40, 99, None, None, None]
+
+
 def test_restored_paragraphs():
     p = p3_pages.analyse(PAGES)
     got = p3_scans._restore(PAGES, False, p.pageno, p.header, [a for a, _ in p.hyphen], [b for _, b in p.hyphen], [{"line_no": 9, "word": "bostadsbolaget", "correction": "fastighetsbolaget"}])

@@ -209,13 +209,13 @@ MOST = 2048  # points that one task links; a larger group is first brought down
 def _weighted(df: DataFrame, group: str, columns: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """Points (g, id, v, w) of which no group has more than ``most``, and (g, v, id) of every
     distinct profile. Equal profiles are one point; while a group has more, its points lie in
-    random blocks, a task a block, and Ward's method leaves a quarter of each block."""
+    random blocks, a task a block, and Ward's method leaves half of each block."""
     v = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
     kind = df.schema[group].dataType.simpleString()
     p = stored(df.groupBy(F.col(group).alias("g"), v.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("id", F.xxhash64("g", "v")), "ward-points")
     of = p.select("g", "v", "id")
     while True:
-        n = p.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        n = p.groupBy(F.col("g").alias("big")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
         if n.isEmpty():
             return p.select("g", "id", "v", "w"), of
 
@@ -224,17 +224,17 @@ def _weighted(df: DataFrame, group: str, columns: list[str], most: int) -> tuple
                 return pd.DataFrame({"g": pdf["g"], "old": pdf["id"], "id": pdf["id"], "v": pdf["v"], "w": pdf["w"]})
             pdf = pdf.sort_values("id").reset_index(drop=True)
             x, w = np.stack(pdf["v"]), pdf["w"].to_numpy()
-            at = _cut(_merges(x, w), len(x), max(1, len(x) // 4))
+            at = _cut(_merges(x, w), len(x), max(1, len(x) // 2))
             total = np.bincount(at, w)
             mid = np.stack([np.bincount(at, w * x[:, j]) / total for j in range(x.shape[1])], axis=1)
             first = pdf["id"].to_numpy()[np.unique(at, return_index=True)[1]]
             return pd.DataFrame({"g": pdf["g"], "old": pdf["id"], "id": first[at], "v": list(mid[at]), "w": total[at]})
 
         cells = F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", "w"), F.ceil(F.col("n") / (most // 2))))
-        b = p.join(n, "g", "left").select("g", "id", "v", "w", cells.cast("long").alias("b"))
+        b = p.join(n, F.expr("g <=> big"), "left").select("g", "id", "v", "w", cells.cast("long").alias("b"))
         step = stored(b.groupBy("g", "b").applyInPandas(run, f"g {kind}, old long, id long, v array<double>, w double"), "ward-step")
-        of = stored(of.withColumnRenamed("id", "old").join(step.select("g", "old", "id"), ["g", "old"]).select("g", "v", "id"), "ward-of")
-        p = step.select("g", "id", "v", "w").dropDuplicates(["g", "id"])
+        of = stored(of.withColumnRenamed("id", "old").join(step.select("old", "id"), "old").select("g", "v", "id"), "ward-of")  # an id tells the group too
+        p = step.select("g", "id", "v", "w").dropDuplicates(["id"])
 
 
 def linkage(df: DataFrame, group: str, columns: list[str], most: int = MOST) -> DataFrame:
@@ -246,7 +246,8 @@ def linkage(df: DataFrame, group: str, columns: list[str], most: int = MOST) ->
         x, w = np.stack(pdf["v"]), pdf["w"].to_numpy()
         o = np.lexsort(x.T[::-1])
         m = _merges(x[o], w[o])
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(m), "step": range(len(m)), "a": [r[0] for r in m], "b": [r[1] for r in m], "height": [r[2] for r in m], "size": [r[3] for r in m]})
+        a, b, h, n = np.array(m).reshape(-1, 4).T
+        return pd.DataFrame({"g": pd.Series([pdf["g"].iloc[0]] * len(m), dtype=object), "step": np.arange(len(m)), "a": a.astype(int), "b": b.astype(int), "height": h, "size": n})
 
     p, _ = _weighted(df, group, columns, most)
     return p.groupBy("g").applyInPandas(run, f"g {kind}, step int, a int, b int, height double, size double").withColumnRenamed("g", group)
@@ -255,7 +256,6 @@ def linkage(df: DataFrame, group: str, columns: list[str], most: int = MOST) ->
 def ward(df: DataFrame, group: str, key: str, columns: list[str], k: int, most: int = MOST) -> DataFrame:
     """Ward linkage cut into k clusters within each group, numbered from 0 by size, then by
     centroid. Exact up to ``most`` distinct profiles; larger groups are brought down in blocks."""
-    kind = df.schema[group].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w = np.stack(pdf["v"]), pdf["w"].to_numpy()
@@ -265,11 +265,11 @@ def ward(df: DataFrame, group: str, key: str, columns: list[str], k: int, most:
         size = np.bincount(at, w)
         mid = [tuple(np.bincount(at, w * x[:, j])[c] / size[c] for j in range(x.shape[1])) for c in range(len(size))]
         rank = {c: r for r, c in enumerate(sorted(range(len(size)), key=lambda c: (-size[c], mid[c])))}
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "id": ids, "cluster": [rank[c] for c in at]})
+        return pd.DataFrame({"id": ids, "cluster": [rank[c] for c in at]})
 
     p, of = _weighted(df, group, columns, most)
-    label = p.groupBy("g").applyInPandas(run, f"g {kind}, id long, cluster int")
-    label = of.join(label, ["g", "id"]).select("g", "v", "cluster")
+    label = p.groupBy("g").applyInPandas(run, "id long, cluster int")
+    label = of.join(label, "id").select("g", "v", "cluster")
     v = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
     out = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), v.alias("_v"))
     return out.join(label, F.expr("_g <=> g AND _v = v")).select(F.col("_g").alias(group), F.col("_k").alias(key), "cluster")

@@ -73,7 +73,7 @@ def neighbours(df: DataFrame, seeds: DataFrame, key: str, vector: str, top: int
                 best = np.argsort(-sim, axis=1, kind="stable")[:, :top]
                 s = np.take_along_axis(sim, best, axis=1)
                 i, j = np.nonzero(np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(names[best[i, j]]), pa.array(s[i, j])], names=["seed", key, "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[i], ids.type.value_type), pa.array(names[best[i, j]], k.type.value_type), pa.array(s[i, j])], names=["seed", key, "similarity"])
 
     got = x.crossJoin(y).mapInArrow(run, f"seed {seed_kind}, {key} {kind}, similarity double")
     w = W.partitionBy("seed").orderBy(F.desc("similarity"), key)

@@ -96,7 +96,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return (x >> U(32)).astype(np.uint32).view(np.int32)
 
 
-DOCS = "doc string, fp long, n_words int, mass long, bands array<int>"
+DOCS = "doc string, fp long, n_words int, mass long, bands array<long>"
 SETS = "fp long, items binary, counts binary"
 BLOCK = 1024  # members of a band's bucket beyond which it is joined in blocks
 
@@ -119,7 +119,8 @@ def documents(df: DataFrame, doc: str, text: str, k: int = 3, rows: int = 5, ban
                 keep = new[rec] >= 0
                 rec, item, count = new[rec[keep]], item[keep], count[keep]
                 w = count if weighted else np.ones(len(count), dtype=np.int64)
-                keys = band_keys(bagminhash(rec, item, w, len(ok), rows * bands), rows)
+                keys = band_keys(bagminhash(rec, item, w, len(ok), rows * bands), rows).astype(np.int64) & 0xFFFFFFFF
+                keys |= np.arange(bands, dtype=np.int64) << 32  # the band is part of its key
                 mass = np.bincount(rec, w, len(ok)).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([docs.slice(i, j - i).take(pa.array(ok)), pa.array(fp[ok].view(np.int64)), pa.array(n_words[ok].astype(np.int32)), pa.array(mass), lists], names=["doc", "fp", "n_words", "mass", "bands"])
@@ -172,13 +173,13 @@ def links(docs: DataFrame, texts: DataFrame, doc: str, text: str, threshold: flo
     right, so no task holds all pairs of a bucket.
     """
     reps = docs.groupBy("fp").agg(F.first("mass").alias("mass"), F.first("bands").alias("bands"))
-    flat = reps.select("fp", "mass", F.posexplode("bands").alias("band", "key"))
-    hot = stored(flat.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("band", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "p6-hot")
-    flat = flat.join(small(hot), ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    a = flat.select(F.col("fp").alias("a"), F.col("mass").alias("na"), "band", "key", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
-    b = flat.select(F.col("fp").alias("b"), F.col("mass").alias("nb"), "band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    flat = reps.select("fp", "mass", F.explode("bands").alias("key"))
+    hot = stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "p6-hot")
+    flat = flat.join(small(hot), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = flat.select(F.col("fp").alias("a"), F.col("mass").alias("na"), "key", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
+    b = flat.select(F.col("fp").alias("b"), F.col("mass").alias("nb"), "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
-    pairs = stored(a.join(b, ["band", "key", "block"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "p6-pairs")
+    pairs = stored(a.join(b, ["key", "block"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "p6-pairs")
     used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     one = stored(docs.join(used, "fp", "left_semi").groupBy("fp").agg(F.min("doc").alias("d")), "p6-used")
     src = texts.filter(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).join(small(one, 500_000), "d")

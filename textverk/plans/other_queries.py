@@ -497,7 +497,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     """The same counts by a streaming query that runs until its input is read."""
     import uuid
 
-    at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    at = f"{own_dir(s)}/stream-{uuid.uuid4().hex}"
     src = windows.replay(s, f"{d}/events.parquet*", table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.windowed_counts(src, "ts", "event_type", late="400 days")
 

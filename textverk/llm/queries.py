@@ -175,6 +175,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return p8.report(p8_containers(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold, a row a capacity: no container over it, a text in as few pieces as can be,
+    the tokens of all texts, and little space left (90 % used, or one container alone)."""
+    placed = stored(p8_containers(spark, d), "p8-placed")
+    pieces = placed.groupBy("spec_id", "capacity", "doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    docs = pieces.groupBy("spec_id").agg(F.bool_and(F.col("n") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))).alias("undivided"), F.count(F.lit(1)).alias("texts"))
+    x = p8.report(placed).join(docs, "spec_id")
+    return x.select("spec_id", "texts", (F.col("fullest") <= F.col("capacity")).alias("within"), "undivided", ((F.col("fill") > 0.9) | (F.col("containers") == 1)).alias("filled"))
+
+
 # --- 9: mixture of sources
 
 
@@ -255,6 +265,7 @@ WITH f AS (SELECT DISTINCT file FROM term_document_matrix WHERE file IS NOT NULL
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(nfc_normalize(t)), '[\p{L}\p{M}]+')) AS term FROM r WHERE t IS NOT NULL), c AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS files FROM w GROUP BY term),
 k AS (SELECT count(DISTINCT doc_id) AS k FROM r), m AS (SELECT term, occurrences, files, CASE WHEN occurrences < 4 OR files < 2 THEN 'rare' WHEN files > 0.3 * k THEN 'common' END AS mark FROM c, k) """
     return {
+        "p8_checks": "SELECT spec_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, true AS within, true AS undivided, true AS filled FROM container_specs WHERE capacity_tokens > 0",
         "p9_checks": "SELECT true AS all_used, true AS within_caps, true AS whole_size, true AS in_proportion",
         "p5_term_counts": terms + "SELECT term, occurrences, files, mark FROM m",
         "p5_found": terms + "SELECT term, mark FROM m WHERE mark IS NOT NULL",

@@ -393,7 +393,7 @@ q("j11_linkage_checks", f"WITH {_PROF} SELECT wave, CAST(count(*) AS DOUBLE) AS
     lambda s, d: cluster.linkage(profiles(s, d), "wave", _cols(s, d)).groupBy("wave").agg(F.max("size").alias("size"), (F.max_by("height", "step") == F.max("height")).alias("rises"))
 )
 q("j12_characterise", None)(lambda s, d: cluster.characterise(_assigned(s, d), _cols(s, d)))
-q("j12_checks", f"WITH {_PROF} SELECT count(*) AS n, count(*) FILTER (actor = 'kommun') AS n_kommun, count(*) FILTER (actor = 'länsstyrelse') AS n_lansstyrelse, count(*) FILTER (actor = 'MCF') AS \"n_MCF\", 1.0 AS shares FROM pf")(lambda s, d: _characterise_checks(s, d))
+q("j12_checks", f"WITH {_PROF} SELECT count(*) AS n, count(*) FILTER (actor = 'kommun') AS n_kommun, count(*) FILTER (actor = 'länsstyrelse') AS n_lansstyrelse, count(*) FILTER (actor = 'MCF') AS \"n_MCF\", CAST(1 AS DOUBLE) AS shares FROM pf")(lambda s, d: _characterise_checks(s, d))
 q("k_cluster_composition", f"WITH {_PROF} SELECT wave, coalesce(actor, 'unknown') AS actor, CAST(count(*) AS BIGINT) AS n FROM pf GROUP BY ALL")(lambda s, d: cluster.composition(_assigned(s, d), "wave").groupBy("wave", "actor").agg(F.sum("n").alias("n")))
 q("i7_cluster_transitions", None)(lambda s, d: cluster.transitions(_assigned(s, d), [(0, 1), (1, 2), (2, 3)]))
 q("k_transition_totals", f"WITH {_PROF} SELECT a.wave AS wave_from, b.wave AS wave_to, count(*) AS n FROM pf a JOIN pf b ON a.entity = b.entity AND b.wave = a.wave + 1 GROUP BY ALL")(

@@ -194,6 +194,29 @@ def test_misread_words_held_out(spark):
     assert back[902] == "ren text utan fel" and back[901] == "" and 900 not in back
 
 
+def test_texts_without_another_sign_of_a_scan_are_looked_at(spark):
+    """Running headers and Roman page numbers alone are found, and the words of every text count;
+    a notice that comes back anywhere, or an entry of a list, is no header."""
+    rng = random.Random(5)
+    voc = "kommunen har prövat larmplanen under helgen norr om staden tillsammans med skolan och vattenverket i väntan på regionens samråd".split()
+    body = [" ".join(rng.choice(voc) for _ in range(9)) for _ in range(80)]
+    heads = [x for p in range(4) for x in ("Beredskapsplan – Storköping", "", *body[20 * p : 20 * p + 20])]
+    roman = [x for p, n in enumerate(("xi", "xii", "xiii", "xiv")) for x in (*body[20 * p : 20 * p + 20], n)]
+    notice = list(body)
+    for k in (61, 33, 29, 4):
+        notice.insert(k, "Åter till Storköping")
+    listed = [f"{c}) {x}" for c, x in zip("abcdefghij", ("Vattenverket", "Skolan (stor)", "Larmplanen") * 4, strict=False)]
+    rows = [("x", k, "\n".join(t), False) for k, t in enumerate((heads, roman, notice, listed, ["Kort text."]))] + [("x", 5, "", False), ("x", 6, None, False)]
+    df = spark.createDataFrame(rows, "src string, rec_id long, text string, scanned boolean")
+    got = {(r.rec_id, r.line_no, r.fault) for r in p3_scans.faults(df).collect()}
+    assert got == {(0, 22 * p + 1, "header") for p in range(4)} | {(1, 21 * p, "pageno") for p in range(1, 5)}
+    words = {r.rec_id: r.n for r in p3_scans.parts(df).selectExpr("rec_id", "size(words) AS n").collect()}
+    assert set(words) == set(range(5)) and all(words.values())
+    long = "\n".join(body * 300)  # more than is handled at once
+    many = spark.createDataFrame([("x", k, long if k == 1 else "Kort text.", False) for k in range(3)], df.schema)
+    assert {r.rec_id: r.n for r in p3_scans.parts(many).selectExpr("rec_id", "size(words) AS n").collect()}.keys() == {0, 1, 2}
+
+
 # --- 4
 
 CLEAN = [

@@ -4,7 +4,8 @@ Candidates are lines that hold a page number of one form, lines that come back (
 misread characters), and lines that end in a broken word. Pairs of lines, a candidate and
 the next of its form, or a broken line and the next body line, have features of place,
 numbers, distance and surroundings; classifiers fitted on simulated scans (``p3_simulate``)
-tell from them which are furniture and which lines go on.
+tell from them which are furniture and which lines go on. Every text is looked at, also one
+without any sign of a scan; there the lines that come back must also divide it as pages would.
 """
 
 from __future__ import annotations
@@ -14,10 +15,6 @@ from collections import Counter
 from dataclasses import dataclass, field
 from os.path import commonprefix
 
-import numpy as np
-
-from textverk.llm.kernel import Fold, codes_of, lines_of
-
 _D = r"[0-9lIOoSB|]"
 _NUM = rf"(?=[^\n]*[0-9])({_D}{{1,6}})"
 # Lines that hold only a page number or count
@@ -28,51 +25,16 @@ PAGE = re.compile(
 _DIGITS = str.maketrans("lIi|OoSsBb", "1111005588")
 TAIL = re.compile(r"^(?P<rest>.*\S)\s{2,}(?P<n>[0-9lIO]{1,6})$")
 HEAD = re.compile(r"^(?P<n>[0-9lIO]{1,6})\s{2,}(?P<rest>\S.*)$")
+_NUMERIC = "0123456789lIO"
 HYPHENS = "-‐¬­"
 BROKEN = re.compile(rf"[^\W\d_][^\W_]*[{HYPHENS}]$")
 _SIGN = re.compile(r"[^\W\d_][‐¬\u00ad]\s*\n|[a-zåäö]-\s*\n\s*[a-zåäö]")
+_ODD = re.compile(r"[a-zåäö][0-9I][a-zåäö]|á")  # letters as only a scanner gives them
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-_LIST = re.compile(r"^\s*(?:[•·→▪■●*–-]\s|\d+[.)]\s|\d+(?:\.\d+)+\s)")
+_LIST = re.compile(r"^\s*(?:[•·→▪■●*–-]\s|\d+[.)]\s|\(?[^\W\d_]\)\s|\d+(?:\.\d+)+\s)")
 KEEPS = {"och", "eller", "samt", "respektive", "and", "or", "und", "oder", "ja", "tai", "till"}
 
 
-class Maybe:
-    """Which texts of a batch can be scans: a broken word at a line's end, a page number or
-    count alone on a line or after wide space, or letters as only a scanner gives them.
-    Array operations find the few lines that the patterns then look at."""
-
-    _LOOK = re.compile(rf"\S\s{{2,}}[0-9lIO]{{1,6}}\s*$|^\s*[0-9lIO]{{1,6}}\s{{2,}}\S|{PAGE.pattern}", re.IGNORECASE)
-
-    def __init__(self) -> None:
-        self.fold = Fold("L")
-        self.digits = np.array([ord(c) for c in "0123456789"], dtype=np.uint32)
-        self.hyphens = np.array([ord(c) for c in HYPHENS], dtype=np.uint32)
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros(len(texts), dtype=bool)
-        codes, off = codes_of(texts)
-        if not len(codes):
-            return out
-        low = self.fold(codes)
-        small = (low != 0) & (low == codes)
-        digit = (codes >= 48) & (codes <= 57)
-        inner = small[:-2] & (digit[1:-1] | (codes[1:-1] == 73)) & small[2:]
-        at = np.concatenate([np.flatnonzero(inner) + 1, np.flatnonzero(codes == ord("á"))])
-        start, end, rec, _ = lines_of(codes, off)
-        last = end - 1
-        for _ in range(3):  # blanks and a carriage return at the end
-            last = np.where((last > start) & (codes[last] <= 32), last - 1, last)
-        broken = np.isin(codes[last], self.hyphens) & (low[np.maximum(last - 1, 0)] != 0)
-        out[np.searchsorted(off, at, side="right") - 1] = True
-        out[rec[broken]] = True
-        n = np.zeros(len(codes) + 1, dtype=np.int64)
-        np.cumsum(digit, out=n[1:])
-        for s, e, r in zip(*(x[((end - start <= 26) | digit[last] | digit[start]) & (n[end] > n[start])].tolist() for x in (start, end, rec)), strict=True):
-            if not out[r] and self._LOOK.search(texts[r][s - int(off[r]) : e - int(off[r])]):
-                out[r] = True
-        return out
-
-
 @dataclass
 class Page:
     """What was found in a text; line numbers from 1."""
@@ -120,35 +82,63 @@ def _parts(n: int, most: int = 3) -> list[tuple[int, int]]:
 
 
 class _Forms:
-    """Forms of lines, found again by the parts that stayed whole: a look-up of the parts of all
-    lengths and shifts in question, so a form is compared with those alone that share enough."""
+    """Forms of lines, found again by the parts that stayed whole. A line is compared with those
+    forms alone that share enough parts: of few forms each is looked at, of many a look-up of the
+    parts of all lengths and shifts in question gives them."""
+
+    FEW = 24  # forms of a line's length, give or take ``most``, up to which each is looked at
 
     def __init__(self, most: int = 3) -> None:
         self.most, self.groups, self.by, self.parts = most, [], {}, {}
+        self.sized: dict[int, list[int]] = {}
+        self.indexed = 0  # so many of the groups are in the look-up
 
     def add(self, key: str, places: list) -> None:
+        self.sized.setdefault(len(key), []).append(len(self.groups))
         self.groups.append((key, list(places)))
-        cut = self.parts.setdefault(len(key), _parts(len(key), self.most))
-        for k, (x, y) in enumerate(cut):
-            self.by.setdefault((len(key), k, key[x:y]), []).append(len(self.groups) - 1)
+
+    def _cut(self, n: int) -> list[tuple[int, int]]:
+        if n not in self.parts:
+            self.parts[n] = _parts(n, self.most)
+        return self.parts[n]
 
     def find(self, key: str, least: int = 1) -> list | None:
         """The places of the first form that ``key`` is, but for misread characters."""
+        sizes = [n for n in range(max(1, len(key) - self.most), len(key) + self.most + 1) if n in self.sized]
+        if not sizes:
+            return None
+        near = [g for n in sizes for g in self.sized[n]]
+        for g in sorted(near) if len(near) <= self.FEW else self._likely(key, sizes):
+            form = self.groups[g][0]
+            if form == key or self._share(form, key) and _near(form, key, least, self.most):
+                return self.groups[g][1]
+        return None
+
+    def _share(self, form: str, key: str) -> bool:
+        lost = 0
+        for x, y in self._cut(len(form)):
+            if form[x:y] not in key:
+                lost += 1
+                if lost > self.most:
+                    return False
+        return True
+
+    def _likely(self, key: str, sizes: list[int]) -> list[int]:
+        for g in range(self.indexed, len(self.groups)):
+            form = self.groups[g][0]
+            for k, (x, y) in enumerate(self._cut(len(form))):
+                self.by.setdefault((len(form), k, form[x:y]), []).append(g)
+        self.indexed = len(self.groups)
         by, likely = self.by, []
-        for n in range(max(1, len(key) - self.most), len(key) + self.most + 1):
-            cut = self.parts.get(n)
-            if not cut:
-                continue
+        for n in sizes:
+            cut = self._cut(n)
             need, shared = len(cut) - self.most, Counter()
             for k, (x, y) in enumerate(cut):
                 whole = [hit for at in range(max(0, x - self.most), x + self.most + 1) if (hit := by.get((n, k, key[at : at + y - x])))]
                 if whole:
                     shared.update(whole[0] if len(whole) == 1 else {g for hit in whole for g in hit})
             likely += [g for g, c in shared.items() if c >= need]
-        for g in sorted(likely):
-            if _near(self.groups[g][0], key, least, self.most):
-                return self.groups[g][1]
-        return None
+        return sorted(likely)
 
 
 def _near(a: str, b: str, least: int = 1, most: int = 3) -> bool:
@@ -186,6 +176,7 @@ class Scan:
         self.full = [i for i, x in enumerate(self.lines) if x]
         self.place = {i: k for k, i in enumerate(self.full)}
         self.likely = scanned or bool(_SIGN.search(text))
+        self.signs = self.likely or bool(_ODD.search(text))
         self.widest = min(120, max((len(self.lines[i]) for i in self.full), default=0))
         self.by: dict[str, list[tuple[int, int | None]]] = {}
         for i in self.full:
@@ -208,6 +199,19 @@ class Scan:
         p = self.place[i]
         return p == 0 or p == len(self.full) - 1 or self.full[p - 1] in known or self.full[p + 1] in known
 
+    def pages(self, got: list[tuple[int, int | None]]) -> tuple:
+        """Features of the parts into which the places divide the text: whether they reach its
+        ends, how long the parts are and how even, and how the places stand."""
+        at = [self.place[i] for i, _ in got]
+        gaps = [b - a for a, b in zip(at, at[1:], strict=False)]
+        before, after = at[0], len(self.full) - 1 - at[-1]
+        mid = sorted(gaps)[len(gaps) // 2]
+        x = self.lines[got[0][0]]
+        return (
+            (before == 0) + (after == 0), min(len(at), 12), min(min(gaps), 60), round(min(5.0, max(gaps) / min(gaps)), 1), round(min(3.0, max(before, after) / mid), 1), round(min(3.0, min(before, after) / mid), 1),
+            round(sum(self._cut(i) for i, _ in got) / len(got), 1), round(sum(self._alone(i) for i, _ in got) / len(got), 1), min(len(x), 100) // 5, x[0].islower(), any(n is not None for _, n in got),
+        )
+
     def _alone(self, i: int) -> bool:
         return i > 0 and not self.lines[i - 1] or i + 1 < len(self.lines) and not self.lines[i + 1]
 
@@ -220,9 +224,9 @@ class Scan:
             x = self.lines[i]
             if i in good or len(x) < 6 or _LIST.match(x):
                 continue
-            m = TAIL.match(x) or HEAD.match(x)
+            m = x[-1] in _NUMERIC and TAIL.match(x) or x[0] in _NUMERIC and HEAD.match(x)
             n = _value(m["n"]) if m else None
-            key = re.sub(r"\s+", " ", m["rest"] if m and n is not None else x).casefold()
+            key = " ".join((m["rest"] if m and n is not None else x).split()).casefold()
             if key[-1] in ".!?,;…" and n is None:
                 continue
             keys.setdefault(key, []).append((i, n))
@@ -293,7 +297,7 @@ def analyse(text: str, scanned: bool = False, classifiers: tuple | None = None)
         from textverk.llm.p3_simulate import models
 
         classifiers = models()
-    furniture_odds, join_odds = classifiers
+    furniture_odds, join_odds, page_odds = classifiers
     scan = Scan(text, scanned)
     out = Page(scan.lines)
     if not scan.full:
@@ -308,6 +312,8 @@ def analyse(text: str, scanned: bool = False, classifiers: tuple | None = None)
         good = {i for k, got in scan.by.items() if holds(1 + _KINDS.index(k), got, good) for i, _ in got}
     heads: set[int] = set()
     left = scan.forms(good)
+    if not good and not scan.signs:  # then the lines must divide the text as pages would
+        left = [got for got in left if page_odds(scan.pages(got)) > 0]
     while True:
         new = [got for got in left if holds(0, got, good | heads)]
         if not new:
@@ -334,7 +340,7 @@ def body_words(page: Page) -> list[tuple[int, str, int]]:
     for k, x in enumerate(page.lines, 1):
         if k in skip or not x:
             continue
-        words = [m[0] for m in WORD.finditer(x)]
+        words = WORD.findall(x)
         if k in joined_at and words:
             words = words[1:]  # it was counted with the line it began on
         if k in goes and words:
@@ -342,5 +348,5 @@ def body_words(page: Page) -> list[tuple[int, str, int]]:
             if nxt:
                 out.append((k, words[-1] + nxt[0], goes[k]))
                 words = words[:-1]
-        out.extend((k, w, 0) for w in words)
+        out += [(k, w, 0) for w in words]
     return out

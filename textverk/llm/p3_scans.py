@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textverk.llm.boost import Boosted
 from textverk.llm.kernel import slices
-from textverk.llm.p3_pages import HYPHENS, Maybe, analyse, body_words
+from textverk.llm.p3_pages import HYPHENS, analyse, body_words
 from textverk.llm.p3_simulate import models
 from textverk.session import stored
 from textverk.sources.tables import spread
@@ -47,25 +47,24 @@ PARTS = "src string, rec_id long, scan boolean, pageno array<int>, header array<
 
 
 def parts(df: DataFrame) -> DataFrame:
-    """Furniture, broken words and body words of (src, rec_id, text, scanned)."""
+    """Furniture, broken words and body words of every text of (src, rec_id, text, scanned)."""
 
     sent = df.sparkSession.sparkContext.broadcast(models())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, classifiers = Maybe(), sent.value
+        classifiers = sent.value
         for b in batches:
-            rows: list[list] = [[] for _ in range(9)]
-            texts, scans = b.column("text").to_pylist(), np.array(b.column("scanned").to_pylist(), dtype=bool)
-            look = scans | (np.concatenate([maybe(texts[i:j]) for i, j in slices(texts)]) if texts else scans)
-            at = pa.array(np.flatnonzero(look))
-            for t, s in ((texts[k], scans[k]) for k in at.to_pylist()):
-                page = analyse(t, bool(s), classifiers)
-                words = [(k, n, len(page_part(page.lines[k - 1])) if n else 0, w.lower()) for k, w, n in body_words(page) if len(w) > 2 and not w.isdigit()]
-                one = (page.scanned, page.pageno, page.header, [i for i, _ in page.hyphen], [j for _, j in page.hyphen], [w[0] for w in words], [w[1] for w in words], [w[2] for w in words], [w[3] for w in words])
-                for c, v in zip(rows, one, strict=True):
-                    c.append(v)
-            kinds = [pa.bool_(), *[pa.list_(pa.int32())] * 7, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column("src").take(at), b.column("rec_id").take(at), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=["src", "rec_id", "scan", "pageno", "header", "hyphen", "goes_on", "w_line", "w_next", "w_cut", "words"])
+            texts, scans = b.column("text").to_pylist(), b.column("scanned").to_pylist()
+            for i, j in slices(texts):  # as the words take more memory than the texts
+                rows: list[list] = [[] for _ in range(9)]
+                for t, s in zip(texts[i:j], scans[i:j], strict=True):
+                    page = analyse(t, bool(s), classifiers)
+                    words = [(k, n, len(page_part(page.lines[k - 1])) if n else 0, w.lower()) for k, w, n in body_words(page) if len(w) > 2 and not w.isdigit()]
+                    one = (page.scanned, page.pageno, page.header, [k for k, _ in page.hyphen], [k for _, k in page.hyphen], [w[0] for w in words], [w[1] for w in words], [w[2] for w in words], [w[3] for w in words])
+                    for c, v in zip(rows, one, strict=True):
+                        c.append(v)
+                kinds = [pa.bool_(), *[pa.list_(pa.int32())] * 7, pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column("src").slice(i, j - i), b.column("rec_id").slice(i, j - i), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=["src", "rec_id", "scan", "pageno", "header", "hyphen", "goes_on", "w_line", "w_next", "w_cut", "words"])
 
     src = df.filter(F.col("text").isNotNull() & (F.length("text") > 0))
     return spread(src, "rec_id").mapInArrow(run, PARTS)

@@ -4,7 +4,8 @@ Texts are random words in sentences, set in lines and pages as a scanner would g
 headers and footers with and without numbers, page numbers of every form, words broken at
 line ends; and beside them what only looks so: headings and notices that come back, numbered
 lists, words that keep their own hyphen. The features tell nothing of the words, so nothing
-depends on a language. Fitted once a process, on PAGES texts.
+depends on a language. Fitted once a process, on PAGES texts; and on as many again that are no
+scans, some of them lists, for the lines that come back in a text without other signs of one.
 """
 
 from __future__ import annotations
@@ -202,26 +203,58 @@ def text(rng: random.Random) -> tuple[list[str], list[str], dict[int, int], bool
     return lines, kind, goes, scan
 
 
+def plain(rng: random.Random) -> list[str]:
+    """Lines of a text of any length that is no scan: notices come back in it wherever it may be,
+    or it is a list some of whose entries do."""
+    w = _Writer(rng)
+    if rng.random() < 0.2:
+        entries = [w.title() for _ in range(rng.randrange(4, 25))]
+        return [rng.choice(entries) for _ in range(rng.randrange(5, 40))]
+    width, words, lines = rng.randrange(45, 95), [], []
+    for _ in range(rng.choice([rng.randrange(2, 12), rng.randrange(12, 110)])):
+        line: list[str] = []
+        while sum(map(len, line)) + len(line) < width:
+            words = words or w.sentence()
+            line.append(words.pop(0))
+        lines.append(" ".join(line))
+        if not words and rng.random() < 0.4:
+            lines.append("")
+    for _ in range(rng.randrange(1, 3)):
+        notice = w.title() + rng.choice(["", f" {rng.randrange(2, 99)}"])
+        for _ in range(rng.randrange(2, 6)):
+            lines.insert(rng.randrange(len(lines) + 1), notice)
+    return lines
+
+
 @cache
-def models(seed: int = 3) -> tuple[Quick, Quick]:
-    """(furniture, join): classifiers of pairs of lines."""
+def models(seed: int = 3) -> tuple[Quick, Quick, Quick]:
+    """(furniture, join, pages): classifiers of pairs of lines and of all places of a line."""
     from textverk.llm.p3_pages import Scan
 
     rng = random.Random(seed)
-    fx, fy, jx, jy = [], [], [], []
+    fx, fy, jx, jy, px, py = [], [], [], [], [], []
     for _ in range(PAGES):
         lines, kind, goes, scanned = text(rng)
         likely = scanned if rng.random() < 0.9 else not scanned  # it is not always known
         scan = Scan("\n".join(lines), likely)
         body = {i for i, k in enumerate(kind) if not k}
         known: set[int] = set()
-        for _ in range(2):  # without and with the page numbers at hand, as in the search
+        for first in (True, False):  # without and with the page numbers at hand, as in the search
             for c, got in scan.candidates(known):
                 for (i, _), (j, _), x in scan.pairs(c, got, known):
                     fx.append(x)
                     fy.append(float(bool(kind[i]) and bool(kind[j])))
+                if c == 0 and first:
+                    px.append(scan.pages(got))
+                    py.append(float(sum(kind[i] == "header" for i, _ in got) > len(got) / 2))
             known = {i for i, k in enumerate(kind) if k == "pageno"}
         for i, j, x in scan.joins({i for i, k in enumerate(kind) if k}):
             jx.append(x)
             jy.append(float(i in body and goes.get(i) == j))
-    return Quick(Boosted(rounds=ROUNDS).fit(np.array(fx, dtype=float), np.array(fy))), Quick(Boosted(rounds=ROUNDS).fit(np.array(jx, dtype=float), np.array(jy)))
+    others = random.Random(seed + 1)
+    for _ in range(PAGES):  # a text without other signs is seldom a scan
+        scan = Scan("\n".join(plain(others)), False)
+        for got in scan.forms(set()):
+            px.append(scan.pages(got))
+            py.append(0.0)
+    return tuple(Quick(Boosted(rounds=ROUNDS).fit(np.array(x, dtype=float), np.array(y))) for x, y in ((fx, fy), (jx, jy), (px, py)))

@@ -1,6 +1,8 @@
 """Problems 1, 3, 4, 7 and 10 on made cases, and round trips."""
 
 import random
+import re
+import sys
 
 import numpy as np
 from hypothesis import given, settings
@@ -143,6 +145,52 @@ def test_a_heading_is_compared_with_few_others(monkeypatch):
     assert len(calls) < 0.2 * 1000 * 999 / 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abcå 1", min_size=6, max_size=40), min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 39), st.sampled_from(["", "x", "yy"])), max_size=12))
+def test_the_look_up_of_parts_finds_what_comparing_all_does(keys, edits):
+    """Also where it is made for few forms, and for lines that edits have shifted."""
+    for k, at, new in edits:
+        x = keys[k % len(keys)]
+        keys.append(x[:at] + new + x[at + 1 :])
+    forms, kept = p3_pages._Forms(), []
+    forms.FEW = 0
+    for k in (k for k in keys if len(k) >= 6):
+        want = next((i for i, m in enumerate(kept) if p3_pages._near(m, k)), None)
+        got = forms.find(k)
+        assert (got is None) == (want is None) and (want is None or got is forms.groups[want][1])
+        if got is None:
+            forms.add(k, [k])
+            kept.append(k)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aåÅbİΣσ19²I_á \n\n--¬\u00ad\u2028", max_size=40), st.booleans())
+def test_signs_and_words_by_line_are_those_of_the_whole_text(text, cut):
+    scan = p3_pages.Scan(text, False)
+    assert scan.likely == bool(re.search(r"[^\W\d_][‐¬\u00ad]\s*\n|[a-zåäö]-\s*\n\s*[a-zåäö]", text))
+    assert scan.signs() == (scan.likely or bool(re.search(r"[a-zåäö][0-9I][a-zåäö]|á", text)))
+    page = p3_pages.Page(scan.lines, header=[2] if cut else [], hyphen=[(i + 1, j + 1) for i, j, _ in scan.joins({1} if cut else set())])
+    want = [(k, n, len(p3_pages.page_part(page.lines[k - 1])) if n else 0, w.lower()) for k, w, n in p3_pages.body_words(page) if len(w) > 2 and not w.isdigit()]
+    words, at, count, parts = p3_pages.long_words(page)
+    of = {i: (line, n) for i, line, n in parts}
+    assert [(k, *of.get(i, (0, 0)), w) for i, (k, w) in enumerate(zip((k for k, n in zip(at, count, strict=True) for _ in range(n)), words, strict=True))] == want
+
+
+def test_a_text_without_furniture_takes_few_steps_a_line():
+    """Calls of functions, which do not depend on the machine's speed."""
+    rng = random.Random(5)
+    texts = ["\n".join(p3_simulate.plain(rng)) for _ in range(60)]
+    models, calls = p3_simulate.models(), []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        for t in texts:
+            p3_pages.analyse(t, False, models)
+    finally:
+        sys.setprofile(None)
+    n = sum(t.count("\n") + 1 for t in texts)
+    assert len(calls) < 45 * n, len(calls) / n
+
+
 def test_roman_numbers():
     assert [p3_pages._roman(x) for x in ("i", "iv", "XIX", "xl", "xcix", "iix", "vv", "")] == [1, 4, 19, 40, 99, None, None, None]
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache, lru_cache
 from os.path import commonprefix
 
 _D = r"[0-9lIOoSB|]"
@@ -22,14 +23,19 @@ PAGE = re.compile(
     rf"^\s*(?:(?P<word>s[il1]d[ao.]?\.?|page|p\.)\s*(?P<a>{_D}{{1,6}})(?:\s*(?:av|of|/)\s*{_D}{{1,6}})?|(?P<b>{_D}{{1,6}})\s*(?:\(\s*{_D}{{1,6}}\s*\)|/\s*{_D}{{1,6}}|av\s+{_D}{{1,6}})|[-–—]\s*(?P<c>{_D}{{1,6}})\s*[-–—]|\[\s*(?P<d>{_D}{{1,6}})\s*\]|(?P<e>{_D}{{1,6}})|(?P<f>[ivxlc]{{1,12}}))\s*$",
     re.IGNORECASE,
 )
+# First and last characters of such lines, and of lines that _LIST matches: what others need no match
+_FIRST = frozenset("0123456789lIOoSsBb|pP-–—[ivxlcVXLC")
+_LAST = frozenset("0123456789lLiIıİoOsSſbB|vVxXcC)-–—]")
 _DIGITS = str.maketrans("lIi|OoSsBb", "1111005588")
 TAIL = re.compile(r"^(?P<rest>.*\S)\s{2,}(?P<n>[0-9lIO]{1,6})$")
 HEAD = re.compile(r"^(?P<n>[0-9lIO]{1,6})\s{2,}(?P<rest>\S.*)$")
 _NUMERIC = "0123456789lIO"
 HYPHENS = "-‐¬­"
+_HYPHENS = frozenset(HYPHENS)
+_LETTER = re.compile(r"[^\W\d_]")
 BROKEN = re.compile(rf"[^\W\d_][^\W_]*[{HYPHENS}]$")
-_SIGN = re.compile(r"[^\W\d_][‐¬\u00ad]\s*\n|[a-zåäö]-\s*\n\s*[a-zåäö]")
-_ODD = re.compile(r"[a-zåäö][0-9I][a-zåäö]|á")  # letters as only a scanner gives them
+_ODD = re.compile(r"[0-9I](?<=[a-zåäö].)[a-zåäö]")  # a digit or I between letters, as only a scanner gives it
+_SMALL = frozenset("abcdefghijklmnopqrstuvwxyzåäö")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _LIST = re.compile(r"^\s*(?:[•·→▪■●*–-]\s|\d+[.)]\s|\(?[^\W\d_]\)\s|\d+(?:\.\d+)+\s)")
 KEEPS = {"och", "eller", "samt", "respektive", "and", "or", "und", "oder", "ja", "tai", "till"}
@@ -73,6 +79,7 @@ def _kind(m: re.Match) -> tuple[str, int | None]:
     return "", None
 
 
+@lru_cache(10_000)  # a line may have any length
 def _parts(n: int, most: int = 3) -> list[tuple[int, int]]:
     """Where a line of n characters is cut into parts: within ``most`` edits all but ``most`` of
     them stay whole, shifted by no more than ``most``."""
@@ -81,62 +88,81 @@ def _parts(n: int, most: int = 3) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:], strict=False))
 
 
+@cache
+def _shifts(most: int) -> dict[int, list[int]]:
+    """How far a part that stayed whole may be shifted in a line longer by each number of
+    characters: the edits before it and those after it add up."""
+    return {d: [s for s in range(-most, most + 1) if abs(s) + abs(d - s) <= most] for d in range(-most, most + 1)}
+
+
 class _Forms:
     """Forms of lines, found again by the parts that stayed whole. A line is compared with those
     forms alone that share enough parts: of few forms each is looked at, of many a look-up of the
     parts of all lengths and shifts in question gives them."""
 
-    FEW = 24  # forms of a line's length, give or take ``most``, up to which each is looked at
+    FEW = 64  # forms of a line's length, give or take ``most``, up to which each is looked at
 
     def __init__(self, most: int = 3) -> None:
-        self.most, self.groups, self.by, self.parts = most, [], {}, {}
-        self.sized: dict[int, list[int]] = {}
+        self.most, self.groups, self.by = most, [], {}
+        self.whole: list[list[str] | None] = []  # the parts of each form
+        self.close: dict[int, list[int]] = {}  # the forms of each length, give or take ``most``
         self.indexed = 0  # so many of the groups are in the look-up
 
     def add(self, key: str, places: list) -> None:
-        self.sized.setdefault(len(key), []).append(len(self.groups))
+        g, n = len(self.groups), len(key)
+        for m in range(n - self.most, n + self.most + 1):
+            if m in self.close:
+                self.close[m].append(g)
+            else:
+                self.close[m] = [g]
         self.groups.append((key, list(places)))
-
-    def _cut(self, n: int) -> list[tuple[int, int]]:
-        if n not in self.parts:
-            self.parts[n] = _parts(n, self.most)
-        return self.parts[n]
+        self.whole.append(None)
 
     def find(self, key: str, least: int = 1) -> list | None:
         """The places of the first form that ``key`` is, but for misread characters."""
-        sizes = [n for n in range(max(1, len(key) - self.most), len(key) + self.most + 1) if n in self.sized]
-        if not sizes:
+        near = self.close.get(len(key))
+        if near is None:
             return None
-        near = [g for n in sizes for g in self.sized[n]]
-        for g in sorted(near) if len(near) <= self.FEW else self._likely(key, sizes):
-            form = self.groups[g][0]
-            if form == key or self._share(form, key) and _near(form, key, least, self.most):
-                return self.groups[g][1]
+        most = self.most
+        for g in near if len(near) <= self.FEW else self._likely(key):
+            whole = self.whole[g] or self._pieces(g)
+            lost = 0
+            for x in whole:
+                if x not in key:
+                    lost += 1
+                    if lost > most:
+                        break
+            else:
+                form, places = self.groups[g]
+                if form == key or _near(form, key, least, most):
+                    return places
         return None
 
-    def _share(self, form: str, key: str) -> bool:
-        lost = 0
-        for x, y in self._cut(len(form)):
-            if form[x:y] not in key:
-                lost += 1
-                if lost > self.most:
-                    return False
-        return True
+    def _pieces(self, g: int) -> list[str]:
+        form = self.groups[g][0]
+        self.whole[g] = [form[x:y] for x, y in _parts(len(form), self.most)]
+        return self.whole[g]
 
-    def _likely(self, key: str, sizes: list[int]) -> list[int]:
+    def _likely(self, key: str) -> list[int]:
         for g in range(self.indexed, len(self.groups)):
             form = self.groups[g][0]
-            for k, (x, y) in enumerate(self._cut(len(form))):
-                self.by.setdefault((len(form), k, form[x:y]), []).append(g)
+            own = self.by.setdefault(len(form), [{} for _ in _parts(len(form), self.most)])
+            for at, x in zip(own, self.whole[g] or self._pieces(g), strict=True):
+                at.setdefault(x, []).append(g)
         self.indexed = len(self.groups)
-        by, likely = self.by, []
-        for n in sizes:
-            cut = self._cut(n)
+        likely: list[int] = []
+        for d, shifts in _shifts(self.most).items():
+            n = len(key) - d
+            if n not in self.by:
+                continue
+            cut = _parts(n, self.most)
             need, shared = len(cut) - self.most, Counter()
-            for k, (x, y) in enumerate(cut):
-                whole = [hit for at in range(max(0, x - self.most), x + self.most + 1) if (hit := by.get((n, k, key[at : at + y - x])))]
-                if whole:
-                    shared.update(whole[0] if len(whole) == 1 else {g for hit in whole for g in hit})
+            for k, ((x, y), at) in enumerate(zip(cut, self.by[n], strict=True)):
+                if not shared and len(cut) - k < need:
+                    break  # too few parts are left
+                hits = [hit for s in shifts if x + s >= 0 and (hit := at.get(key[x + s : y + s]))]
+                if hits:
+                    shared.update(hits[0] if len(hits) == 1 else {g for hit in hits for g in hit})
             likely += [g for g, c in shared.items() if c >= need]
         return sorted(likely)
 
@@ -175,24 +201,39 @@ class Scan:
         self.lines = [x.strip() for x in text.split("\n")]
         self.full = [i for i, x in enumerate(self.lines) if x]
         self.place = {i: k for k, i in enumerate(self.full)}
-        self.likely = scanned or bool(_SIGN.search(text))
-        self.signs = self.likely or bool(_ODD.search(text))
-        self.widest = min(120, max((len(self.lines[i]) for i in self.full), default=0))
+        self.text = text
+        self.ended = [p for p, i in enumerate(self.full) if self.lines[i][-1] in _HYPHENS]  # places, not lines
+        self.likely = scanned or self._broken()
         self.by: dict[str, list[tuple[int, int | None]]] = {}
         for i in self.full:
             x = self.lines[i]
-            if x[0] in "0123456789lIOoSsBb|pP-–—[ivxlcVXLC" and (m := PAGE.match(x)):
+            if x[0] in _FIRST and x[-1] in _LAST and (m := PAGE.match(x)):
                 k, v = _kind(m)
                 if any(c.isdigit() for c in x) or k in "acd" or k == "f" and v is not None:
                     self.by.setdefault(k, []).append((i, v))
 
+    def _broken(self) -> bool:
+        """Whether a word seems to be broken at the end of a line."""
+        for p in self.ended:
+            x = self.lines[self.full[p]]
+            if x[-1] != "-":
+                if self.full[p] + 1 < len(self.lines) and x[-2:-1].isalnum() and _LETTER.match(x[-2]):
+                    return True
+            elif x[-2:-1] in _SMALL and p + 1 < len(self.full) and self.lines[self.full[p + 1]][0] in _SMALL:
+                return True
+        return False
+
+    def signs(self) -> bool:
+        """Whether the text has any sign of a scan."""
+        return self.likely or "á" in self.text or bool(_ODD.search(self.text))
+
     def _cut(self, i: int) -> bool:
         """Whether the line stands in the middle of a sentence."""
         p = self.place[i]
         if p == 0 or p == len(self.full) - 1:
             return False
         a, b = self.lines[self.full[p - 1]], self.lines[self.full[p + 1]]
-        return bool(LATIN.search(a)) and a[-1] not in _STOPS and b[:1].islower()
+        return b[0].islower() and a[-1] not in _STOPS and bool(LATIN.search(a))
 
     def _beside(self, i: int, known: set[int]) -> bool:
         """Whether it stands at an end of the text or beside furniture that is known."""
@@ -222,22 +263,30 @@ class Scan:
         keys: dict[str, list[tuple[int, int | None]]] = {}
         for i in self.full:
             x = self.lines[i]
-            if i in good or len(x) < 6 or _LIST.match(x):
+            if len(x) < 6 or i in good or (x[1] == ")" or not x[0].isalpha()) and _LIST.match(x):
                 continue
-            m = x[-1] in _NUMERIC and TAIL.match(x) or x[0] in _NUMERIC and HEAD.match(x)
-            n = _value(m["n"]) if m else None
-            key = " ".join((m["rest"] if m and n is not None else x).split()).casefold()
-            if key[-1] in ".!?,;…" and n is None:
+            n = None
+            if "  " in x or not x.isprintable():  # as all white space but a blank is not
+                m = x[-1] in _NUMERIC and TAIL.match(x) or x[0] in _NUMERIC and HEAD.match(x)
+                n = _value(m["n"]) if m else None
+                x = " ".join((m["rest"] if m and n is not None else x).split())
+            if n is None and x[-1] in ".!?,;…":
                 continue
-            keys.setdefault(key, []).append((i, n))
+            keys.setdefault(x.casefold(), []).append((i, n))
         merged, single, loose = _Forms(), [], _Forms()
-        for k in sorted(keys, key=lambda k: -len(keys[k])):
+        for k in sorted((k for k, at in keys.items() if len(at) > 1), key=lambda k: -len(keys[k])):
             home = merged.find(k, len(keys[k]))
             if home is not None:
                 home.extend(keys[k])
-            elif len(keys[k]) > 1:
+            else:
                 merged.add(k, keys[k])
-            elif self._beside(keys[k][0][0], good) or not good and (self._cut(keys[k][0][0]) or self._alone(keys[k][0][0])):
+        for k, at in keys.items():
+            if len(at) > 1:
+                continue
+            home = merged.find(k)
+            if home is not None:
+                home.extend(at)
+            elif self._beside(at[0][0], good) or not good and (self._cut(at[0][0]) or self._alone(at[0][0])):
                 single.append(k)
         for k in single:
             home = loose.find(k)
@@ -274,18 +323,26 @@ class Scan:
     def joins(self, furniture: set[int]) -> list[tuple[int, int, tuple]]:
         """(line, next body line, features) of the lines whose last word is broken by its look."""
         out = []
-        body = [i for i in self.full if i not in furniture]
-        for i, j in zip(body, body[1:], strict=False):
-            x, y = self.lines[i], self.lines[j]
-            if x[-1] not in HYPHENS or not BROKEN.search(x):
+        widest = min(120, max((len(self.lines[i]) for i in self.full), default=0)) if self.ended else 0
+        for p in self.ended:
+            i = self.full[p]
+            x = self.lines[i]
+            if i in furniture or not BROKEN.search(x):
                 continue
+            p += 1
+            while p < len(self.full) and self.full[p] in furniture:
+                p += 1
+            if p == len(self.full):
+                break
+            j = self.full[p]
+            y = self.lines[j]
             first = re.match(r"[^\W_]+", y)
             part = len(x) - len(x.rstrip(HYPHENS))
             tail = re.search(r"[^\W_]*$", x[:-part])
             word = first[0] if first else ""
             out.append((i, j, (
                 HYPHENS.index(x[-1]), y[0].islower(), word in KEEPS, min(len(word), 12), min(len(tail[0]) if tail else 0, 12), min(j - i, 8), self.likely,
-                round(len(x) / max(1, self.widest), 1), len(word) == len(y), first is None, any(k in furniture for k in range(i, j)),
+                round(len(x) / max(1, widest), 1), len(word) == len(y), first is None, any(k in furniture for k in range(i, j)),
             )))
         return out
 
@@ -312,7 +369,7 @@ def analyse(text: str, scanned: bool = False, classifiers: tuple | None = None)
         good = {i for k, got in scan.by.items() if holds(1 + _KINDS.index(k), got, good) for i, _ in got}
     heads: set[int] = set()
     left = scan.forms(good)
-    if not good and not scan.signs:  # then the lines must divide the text as pages would
+    if left and not good and not scan.signs():  # then the lines must divide the text as pages would
         left = [got for got in left if page_odds(scan.pages(got)) > 0]
     while True:
         new = [got for got in left if holds(0, got, good | heads)]
@@ -329,6 +386,16 @@ def analyse(text: str, scanned: bool = False, classifiers: tuple | None = None)
 
 
 WORD = re.compile(r"[^\W_]+")
+_LONG = re.compile(r"[^\W_]{3,}")
+
+
+def page_part(line: str) -> str:
+    """The first part of the word that is broken at the end of the line."""
+    x = line.rstrip(HYPHENS)
+    k = len(x)
+    while k and (x[k - 1].isalnum()):
+        k -= 1
+    return x[k:]
 
 
 def body_words(page: Page) -> list[tuple[int, str, int]]:
@@ -350,3 +417,38 @@ def body_words(page: Page) -> list[tuple[int, str, int]]:
                 words = words[:-1]
         out += [(k, w, 0) for w in words]
     return out
+
+
+def long_words(page: Page) -> tuple[list[str], list[int], list[int], list[tuple[int, int, int]]]:
+    """Those of the ``body_words`` that have three characters or more and are not digits only, in
+    lower case; the lines they begin on and how many each has; and of each that was put together
+    its index, the line of its second part and the length of its first."""
+    skip = {*page.pageno, *page.header}
+    goes = dict(page.hyphen)
+    seconds = set(goes.values())
+    words: list[str] = []
+    at: list[int] = []
+    count: list[int] = []
+    parts: list[tuple[int, int, int]] = []
+    for k, x in enumerate(page.lines, 1):
+        if not x or k in skip:
+            continue
+        if k in goes or k in seconds:
+            got = WORD.findall(x)
+            if k in seconds:
+                got = got[1:]  # it was counted with the line it began on
+            nxt = WORD.match(page.lines[goes[k] - 1]) if k in goes and got else None
+            if nxt:
+                got.insert(0, got.pop() + nxt[0])
+                if len(got[0]) > 2 and not got[0].isdigit():
+                    parts.append((len(words), goes[k], len(page_part(x))))
+            got = [w.lower() for w in got if len(w) > 2 and not w.isdigit()]
+        elif x.isascii() or not ("İ" in x or "Σ" in x):  # what these become depends on more than themselves
+            got = [w for w in _LONG.findall(x.lower()) if not w.isdigit()]
+        else:
+            got = [w.lower() for w in _LONG.findall(x) if not w.isdigit()]
+        if got:
+            words += got
+            at.append(k)
+            count.append(len(got))
+    return words, at, count, parts

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textverk.llm.boost import Boosted
 from textverk.llm.kernel import slices
-from textverk.llm.p3_pages import HYPHENS, analyse, body_words
+from textverk.llm.p3_pages import HYPHENS, analyse, long_words
 from textverk.llm.p3_simulate import models
 from textverk.session import stored
 from textverk.sources.tables import spread
@@ -56,29 +56,33 @@ def parts(df: DataFrame) -> DataFrame:
         for b in batches:
             texts, scans = b.column("text").to_pylist(), b.column("scanned").to_pylist()
             for i, j in slices(texts):  # as the words take more memory than the texts
-                rows: list[list] = [[] for _ in range(9)]
+                rows: list[list] = [[] for _ in range(5)]
+                words: list[str] = []
+                at, count, sizes, joined = [], [], [0], []
                 for t, s in zip(texts[i:j], scans[i:j], strict=True):
                     page = analyse(t, bool(s), classifiers)
-                    words = [(k, n, len(page_part(page.lines[k - 1])) if n else 0, w.lower()) for k, w, n in body_words(page) if len(w) > 2 and not w.isdigit()]
-                    one = (page.scanned, page.pageno, page.header, [k for k, _ in page.hyphen], [k for _, k in page.hyphen], [w[0] for w in words], [w[1] for w in words], [w[2] for w in words], [w[3] for w in words])
+                    one = (page.scanned, page.pageno, page.header, [k for k, _ in page.hyphen], [k for _, k in page.hyphen])
                     for c, v in zip(rows, one, strict=True):
                         c.append(v)
-                kinds = [pa.bool_(), *[pa.list_(pa.int32())] * 7, pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column("src").slice(i, j - i), b.column("rec_id").slice(i, j - i), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=["src", "rec_id", "scan", "pageno", "header", "hyphen", "goes_on", "w_line", "w_next", "w_cut", "words"])
+                    own, lines, n, two = long_words(page)
+                    joined += [(len(words) + k, line, cut) for k, line, cut in two]
+                    words += own
+                    at += lines
+                    count += n
+                    sizes.append(len(words))
+                w_line = np.repeat(np.array(at, dtype=np.int32), np.array(count, dtype=np.int64))
+                w_next, w_cut = np.zeros(len(words), dtype=np.int32), np.zeros(len(words), dtype=np.int32)
+                for k, line, cut in joined:
+                    w_next[k], w_cut[k] = line, cut
+                off = pa.array(sizes, pa.int32())
+                lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (w_line, w_next, w_cut)] + [pa.ListArray.from_arrays(off, pa.array(words, pa.string()))]
+                kinds = [pa.bool_(), *[pa.list_(pa.int32())] * 4]
+                yield pa.RecordBatch.from_arrays([b.column("src").slice(i, j - i), b.column("rec_id").slice(i, j - i), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True)), *lists], names=["src", "rec_id", "scan", "pageno", "header", "hyphen", "goes_on", "w_line", "w_next", "w_cut", "words"])
 
     src = df.filter(F.col("text").isNotNull() & (F.length("text") > 0))
     return spread(src, "rec_id").mapInArrow(run, PARTS)
 
 
-def page_part(line: str) -> str:
-    """The first part of the word that is broken at the end of the line."""
-    x = line.rstrip(HYPHENS)
-    k = len(x)
-    while k and (x[k - 1].isalnum()):
-        k -= 1
-    return x[k:]
-
-
 def change(word: str, cand: str) -> tuple[str, str, int]:
     """(part of the candidate, part of the word in its place, where) by which the two differ."""
     p = 0
